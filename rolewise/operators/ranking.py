@@ -50,7 +50,8 @@ def running_totals(df: DataFrame, keys: list[str], score: str, tie: str,
 
     Order: `score` (on a bounded grid) descending, then the integer `tie`
     ascending. Every window runs over counts of a bounded domain, or over the
-    rows of one (group, score, id range) cell.
+    rows of one (group, score, id range) cell. `df` is read twice: pass a
+    stored table.
     """
     cell = df.withColumn("_range", F.floor(F.col(tie) / ID_RANGE)).withColumns(
         {f"_v_{n}": c for n, c in values.items()}

@@ -28,8 +28,15 @@ PART_TYPES = ("ECONOMY", "PROMO", "STANDARD", "LARGE", "SMALL", "MEDIUM")
 STAGES = tuple(V.STAGE_ORDER)
 
 
+_SCANS: dict[tuple[str, str], DataFrame] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Scan of a supplied table; the footer is read once per application."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if key not in _SCANS:
+        _SCANS[key] = spark.read.parquet(key[1])
+    return _SCANS[key]
 
 
 def _pick(values, index):

@@ -10,6 +10,7 @@ from rolewise.operators import ranking as R
 from rolewise.operators import scoring as SC
 from rolewise.plans import bindings as B
 from rolewise.plans.registry import query, rounded, sql_rounded as r
+from rolewise.session import cut_lineage
 
 NUMBERS = (*V.CRITERIA, "required_score", "preferred_score", "weighted_score", "admissibility",
            "overall")
@@ -24,6 +25,13 @@ def graded(spark, sf):
     return scores(spark, sf).withColumn("overall", rounded(F.col("overall"), 4))
 
 
+def stored(spark, sf):
+    """Narrow score table, written out: rankings read their input more than once."""
+    return cut_lineage(
+        graded(spark, sf).select("application_id", "offer_id", "candidate_id", "overall")
+    )
+
+
 @query("ontology_relatedness", "SELECT required, held, degree FROM relatedness", "relatedness")
 def _(spark, sf):
     return B.relatedness(spark, sf).select("required", "held", "degree")
@@ -83,7 +91,7 @@ def _(spark, sf):
     FROM (SELECT application_id, offer_id, candidate_id, {r('overall', 4)} AS overall FROM scores)""",
        "scores")
 def _(spark, sf):
-    return R.rank_offers(graded(spark, sf)).select(
+    return R.rank_offers(stored(spark, sf)).select(
         "application_id", "overall", F.col("rank").cast("long").alias("rank"))
 
 
@@ -91,8 +99,7 @@ def _(spark, sf):
     SELECT application_id, rank() OVER (PARTITION BY offer_id ORDER BY overall DESC) AS rank
     FROM (SELECT application_id, offer_id, {r('overall', 4)} AS overall FROM scores)""", "scores")
 def _(spark, sf):
-    g = graded(spark, sf).select("application_id", "offer_id", "overall")
-    return R.competition_ranks(g, ["offer_id"], "overall").select(
+    return R.competition_ranks(stored(spark, sf), ["offer_id"], "overall").select(
         "application_id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -105,8 +112,7 @@ def _(spark, sf):
       SELECT *, lag(overall) OVER (PARTITION BY offer_id ORDER BY rank) AS previous FROM ranked)
     WHERE overall < 0.75 AND coalesce(previous, 1) >= 0.75""", "scores")
 def _(spark, sf):
-    ranked = R.rank_offers(graded(spark, sf).select(
-        "application_id", "offer_id", "candidate_id", "overall"))
+    ranked = R.rank_offers(stored(spark, sf))
     cut = R.mark_cut(ranked, 0.75).where("is_cut")
     return cut.select("application_id", F.col("rank").cast("long").alias("rank"), "overall")
 
