@@ -23,7 +23,12 @@ def closed_periods(periods: DataFrame, ref_date: str) -> DataFrame:
 
 
 def by_start_day(periods: DataFrame) -> DataFrame:
-    return periods.groupBy("candidate_id", "start_date").agg(F.max("end_date").alias("end_date"))
+    """Latest end per start day, and the (negative) days of inverted periods."""
+    length = F.datediff("end_date", "start_date")
+    return periods.groupBy("candidate_id", "start_date").agg(
+        F.max("end_date").alias("end_date"),
+        F.sum(F.least(F.lit(0), length)).alias("inverted_days"),
+    )
 
 
 def with_running_end(days: DataFrame) -> DataFrame:
@@ -45,15 +50,24 @@ def merge_intervals(days: DataFrame) -> DataFrame:
     return (
         opened.withColumn("island", F.sum("opens").over(ordered))
         .groupBy("candidate_id", "island")
-        .agg(F.min("start_date").alias("start_date"), F.max("end_date").alias("end_date"))
+        .agg(
+            F.min("start_date").alias("start_date"), F.max("end_date").alias("end_date"),
+            F.sum(F.when(F.col("opens") == 1, F.col("inverted_days"))).alias("inverted_days"),
+        )
     )
 
 
 def covered_years(periods: DataFrame) -> DataFrame:
-    """Years covered by the union of the periods."""
+    """Years covered by the union of the periods.
+
+    A period that ends before it starts lies in no other one, so it counts
+    with its negative length where it opens an island, and not at all inside
+    one.
+    """
     merged = merge_intervals(by_start_day(periods))
+    length = F.greatest(F.lit(0), F.datediff("end_date", "start_date"))
     return merged.groupBy("candidate_id").agg(
-        (F.sum(F.datediff("end_date", "start_date")) / V.DAYS_PER_YEAR).alias("covered_years")
+        (F.sum(length + F.col("inverted_days")) / V.DAYS_PER_YEAR).alias("covered_years")
     )
 
 

@@ -160,17 +160,15 @@ def fold_tail(counts: DataFrame, label: str, value: str, top: int,
     """
     order = [F.desc(value), F.asc(label)]
     head = counts.orderBy(*order).limit(top).withColumn(
-        "pos", F.row_number().over(W.orderBy(*order))
+        "pos", F.row_number().over(W.orderBy(*order)).cast("long")
     )
-    totals = counts.agg(F.count("*").alias("n"), F.sum(value).alias("s"))
-    kept = head.join(F.broadcast(totals)).where(
-        (F.col("n") <= top) | (F.col("pos") < top)
-    ).select(label, F.col(value).cast("double").alias(value), F.col("pos").cast("long").alias("pos"),
-             "n", "s")
+    size = counts.agg(F.count("*")).scalar()
+    total = counts.agg(F.sum(value)).scalar()
+    kept = head.withColumn("n", size).where((F.col("n") <= top) | (F.col("pos") < top))
     tail = (
         head.where(F.col("pos") < top)
         .agg(F.sum(value).alias("h"))
-        .join(F.broadcast(totals))
+        .select("h", size.alias("n"), total.alias("s"))
         .where(F.col("n") > top)
         .select(
             F.concat((F.col("n") - (top - 1)).cast("string"), F.lit(f" {other}")).alias(label),
@@ -178,4 +176,4 @@ def fold_tail(counts: DataFrame, label: str, value: str, top: int,
             F.lit(top).cast("long").alias("pos"),
         )
     )
-    return kept.select(label, value, "pos").unionByName(tail)
+    return kept.select(label, F.col(value).cast("double").alias(value), "pos").unionByName(tail)
