@@ -158,16 +158,21 @@ _RELEVANT = f"""nd AS (SELECT doc_id, ltrim(regexp_replace({sql_fold('text')}, '
 
 
 def relevant(spark, sf):
-    """Documents holding a whole passage, met through the passage's first 32 characters."""
-    size = 32
+    """Documents holding a whole passage, met through its longest inner word.
+
+    A word inside a passage is a whole word of any text that contains the
+    passage. A passage too short to have one is compared with every document.
+    """
+    words = F.split("needle", " ")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
     passages = B.read(spark, sf, "benchmark").select(
-        F.col("item_id").alias("query_id"), EV.normalised(F.trim("text")).alias("needle"))
-    heads = passages.withColumn("gram", F.xxhash64(F.left("needle", F.lit(size))))
+        F.col("item_id").alias("query_id"), F.rtrim(EV.normalised(F.trim("text"))).alias("needle")
+    ).withColumn("word", F.coalesce(longest["w"], F.lit("")))
     texts = docs(spark, sf).select("doc_id", EV.normalised(F.col("text")).alias("haystack"))
-    grams = texts.select("doc_id", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("haystack") - size + 1, F.lit(1))),
-        lambda i: F.xxhash64(F.substring(F.col("haystack"), i, F.lit(size)))))).alias("gram"))
-    met = grams.join(heads, "gram").select("doc_id", "query_id", "needle")
+    seen = texts.select("doc_id", F.explode(F.array_union(
+        F.array_distinct(F.split("haystack", " ")), F.array(F.lit("")))).alias("word"))
+    met = seen.join(passages, "word").select("doc_id", "query_id", "needle")
     return met.join(texts, "doc_id").where(F.contains("haystack", F.col("needle"))).select(
         "query_id", "doc_id")
 
@@ -376,7 +381,7 @@ def quotes(spark, sf):
         F.pmod(F.col("doc_id"), F.lit(40)) == F.col("pick"), "left")
     parts = F.filter(F.split("text", r"[\n.;]+"), lambda p: F.length(F.trim(p)) >= 12)
     made = F.array(
-        F.struct(F.lit(1).alias("kind"), F.upper(F.try_element_at(parts, F.lit(1))).alias("quote")),
+        F.struct(F.lit(1).alias("kind"), F.lower(F.try_element_at(parts, F.lit(1))).alias("quote")),
         F.struct(F.lit(2).alias("kind"), F.concat(
             F.try_element_at(parts, F.lit(-1)), F.lit(" xqz")).alias("quote")),
         F.struct(F.lit(3).alias("kind"), F.element_at(F.split("text", r"\s+"), 1).alias("quote")),
@@ -394,7 +399,7 @@ def quote_pages(spark, sf):
     WITH parts AS (SELECT doc_id, text, [p FOR p IN regexp_split_to_array(text, '[\\n.;]+')
                      IF length(trim(p)) >= 12] AS ps, regexp_split_to_array(text, '\\s+')[1] AS w
                    FROM documents),
-    q0 AS (SELECT doc_id, 0 AS k, upper(ps[1]) AS quote, text FROM parts
+    q0 AS (SELECT doc_id, 0 AS k, lower(ps[1]) AS quote, text FROM parts
            UNION ALL SELECT doc_id, 1, ps[-1] || ' xqz', text FROM parts
            UNION ALL SELECT doc_id, 2, w, text FROM parts
            UNION ALL SELECT doc_id, 3, b.text, p.text FROM parts p JOIN benchmark b ON item_id = doc_id % 40),
