@@ -28,8 +28,8 @@ def normalise(raw: Column) -> Column:
     The first of equally large weights takes the residue; all-zero input
     falls back to the defaults.
     """
-    clamped = {
-        name: F.least(
+    clamped = F.array(*[
+        F.least(
             F.greatest(
                 F.coalesce(F.try_element_at(raw, F.lit(name)), F.lit(default)),
                 F.lit(V.WEIGHT_MIN),
@@ -37,19 +37,27 @@ def normalise(raw: Column) -> Column:
             F.lit(V.WEIGHT_MAX),
         )
         for name, default in V.DEFAULT_WEIGHTS.items()
-    }
-    total = sum(clamped.values(), F.lit(0.0))
-    scaled = {
-        name: F.when(total > 0, F.round(value / total, 4)).otherwise(
-            F.lit(V.DEFAULT_WEIGHTS[name])
+    ])
+    add = lambda values: F.aggregate(values, F.lit(0.0), lambda t, v: t + v)
+    defaults = F.array(*[F.lit(w) for w in V.DEFAULT_WEIGHTS.values()])
+
+    def scale(values: Column) -> Column:
+        total = add(values)
+        return F.when(
+            total > 0, F.transform(values, lambda v: F.round(v / total, 4))
+        ).otherwise(defaults)
+
+    def settle(values: Column) -> Column:
+        residue = F.round(1.0 - add(values), 4)
+        heaviest = F.array_position(values, F.array_max(values)) - 1
+        return F.transform(
+            values,
+            lambda v, i: F.when(i == heaviest, F.round(v + residue, 4)).otherwise(v),
         )
-        for name, value in clamped.items()
-    }
-    residue = F.round(1.0 - sum(scaled.values(), F.lit(0.0)), 4)
-    largest = F.greatest(*scaled.values())
-    fields, taken = [], F.lit(False)
-    for name, value in scaled.items():
-        mine = ~taken & (value == largest)
-        fields.append(F.when(mine, F.round(value + residue, 4)).otherwise(value).alias(name))
-        taken = taken | (value == largest)
-    return F.struct(*fields)
+
+    # Each step is bound through a one-element array, so it is computed once.
+    bound = F.transform(F.transform(F.array(clamped), scale), settle)
+    fixed = F.element_at(bound, 1)
+    return F.struct(*[
+        F.element_at(fixed, i + 1).alias(name) for i, name in enumerate(V.CRITERIA)
+    ])

@@ -38,6 +38,9 @@ class Tables:
         return replace(self, applications=applications)
 
 
+KINDS = ("required", "preferred")
+
+
 # --- Matching -----------------------------------------------------------------
 def skill_coverage(
     candidate_skills: DataFrame, relatedness: DataFrame, ref_year: int
@@ -129,7 +132,10 @@ def offer_requirements(tables: Tables) -> DataFrame:
                     "name", "requirement", "weight", "min_years",
                 )
             )
-        ).alias("job_skills")
+        ).alias("job_skills"),
+        *[F.sum(F.when(F.col("requirement") == kind, F.col("weight")).otherwise(F.lit(0.0)))
+          .alias(f"{kind}_weight") for kind in KINDS],
+        *[F.count_if(F.col("requirement") == kind).alias(f"{kind}_count") for kind in KINDS],
     )
     languages = tables.job_languages.groupBy("offer_id").agg(
         F.array_sort(
@@ -154,6 +160,7 @@ def offer_requirements(tables: Tables) -> DataFrame:
         )
         .join(skills, "offer_id", "left")
         .join(languages, "offer_id", "left")
+        .na.fill(0, [f"{kind}_{what}" for kind in KINDS for what in ("weight", "count")])
     )
 
 
@@ -202,19 +209,18 @@ JOB_SKILLS = (
 )
 
 
-def _class_sum(matches: Column, requirement: str, value) -> Column:
-    return F.aggregate(
+def weighted_mean(matches: Column, requirement: str) -> Column:
+    """Weighted mean of one requirement class; 0 without weight.
+
+    The class weight is a constant of the offer, summed with its requirements.
+    """
+    weighted = F.aggregate(
         matches, F.lit(0.0),
-        lambda total, m: total + F.when(m["requirement"] == requirement, value(m)).otherwise(
-            F.lit(0.0)
-        ),
+        lambda total, m: F.when(
+            m["requirement"] == requirement, total + m["weight"] * m["score"]
+        ).otherwise(total),
     )
-
-
-def _weighted_mean(matches: Column, requirement: str) -> Column:
-    """Weighted mean of one requirement class; 0 without weight."""
-    weighted = _class_sum(matches, requirement, lambda m: m["weight"] * m["score"])
-    weight = _class_sum(matches, requirement, lambda m: m["weight"])
+    weight = F.col(f"{requirement}_weight")
     return F.when(weight > 0, weighted / weight).otherwise(F.lit(0.0))
 
 
@@ -248,13 +254,10 @@ def with_matches(joined: DataFrame, digits: int | None = None) -> DataFrame:
 def with_skill_scores(df: DataFrame, digits: int | None = None) -> DataFrame:
     """Required and preferred means, their blend, and the admissibility."""
     matches = F.col("skill_matches")
-    count = lambda kind: F.size(F.filter(matches, lambda m: m["requirement"] == kind))
     rounded = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
     means = df.withColumns({
-        "required_score": _weighted_mean(matches, "required"),
-        "preferred_score": _weighted_mean(matches, "preferred"),
-        "required_count": count("required"),
-        "preferred_count": count("preferred"),
+        "required_score": weighted_mean(matches, "required"),
+        "preferred_score": weighted_mean(matches, "preferred"),
     })
     has_required, has_preferred = F.col("required_count") > 0, F.col("preferred_count") > 0
     blend = (1 - V.PREFERRED_SHARE) * F.col("required_score") + V.PREFERRED_SHARE * F.col(

@@ -39,6 +39,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _SCANS[key]
 
 
+def read_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Scan for work that is heavy per row.
+
+    A table in fewer files than there are cores is spread first; a large one
+    already arrives in enough splits and is left where it is.
+    """
+    frame = read(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return frame.repartition(cores) if len(frame.inputFiles()) < cores else frame
+
+
 def _pick(values, index):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
@@ -281,17 +292,23 @@ def brand_ontology(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return implies, related
 
 
-_RELATEDNESS: dict[tuple[str, str], DataFrame] = {}
+def relatedness(spark, sf_dir) -> DataFrame:
+    return ontology.build_relatedness(*brand_ontology(spark, sf_dir))
 
 
-def relatedness(spark, sf_dir) -> DataFrame:
-    """Built once per application: a table of the skill vocabulary's size."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _RELATEDNESS:
-        _RELATEDNESS[key] = cut_lineage(
-            ontology.build_relatedness(*brand_ontology(spark, sf_dir))
-        )
-    return _RELATEDNESS[key]
+_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def staged(spark: SparkSession, sf_dir: str, view) -> DataFrame:
+    """A derived hiring table, written once per application and then scanned.
+
+    A deployment stores these tables; here they are derived, so the first
+    query that needs one writes it to the shared folder.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, view.__name__)
+    if key not in _STAGED:
+        _STAGED[key] = cut_lineage(view(spark, sf_dir), view.__name__)
+    return _STAGED[key]
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
@@ -301,7 +318,7 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
         "certifications": certifications, "offers": offers, "job_skills": job_skills,
         "job_languages": job_languages, "relatedness": relatedness,
     }
-    return Tables(**{name: view(spark, sf_dir) for name, view in make.items()})
+    return Tables(**{name: staged(spark, sf_dir, view) for name, view in make.items()})
 
 
 # --- Event tables -------------------------------------------------------------

@@ -121,7 +121,7 @@ def _(spark, sf):
       SELECT candidate_id, name, (candidate_id % 4)::DOUBLE, last_used_year - 1, 0.75::DOUBLE, 2
       FROM candidate_skills WHERE candidate_id % 3 = 0) GROUP BY 1, 2""", "candidate_skills")
 def _(spark, sf):
-    old = B.candidate_skills(spark, sf).select(
+    old = B.staged(spark, sf, B.candidate_skills).select(
         "candidate_id", "name", "years", "last_used_year", F.lit(0.4).alias("confidence"),
         F.lit(1).alias("load_seq"))
     new = old.where("candidate_id % 3 = 0").select(
@@ -138,7 +138,7 @@ def _(spark, sf):
     UNION ALL SELECT 'x' || email, 'Added', '' FROM candidates WHERE candidate_id % 5 = 0""",
        "candidates")
 def _(spark, sf):
-    old = B.candidates(spark, sf).select("candidate_id", "email", "full_name", "location")
+    old = B.staged(spark, sf, B.candidates).select("candidate_id", "email", "full_name", "location")
     new = old.select(
         F.concat(F.lit(" "), F.upper("email")).alias("email"),
         F.when(F.col("candidate_id") % 2 == 0, F.concat(F.lit("New "), "full_name"))
@@ -254,7 +254,7 @@ _SETS = """found AS (SELECT DISTINCT candidate_id AS case_id, name FROM candidat
 
 def skill_sets(spark, sf):
     """Skills kept by years as found, by use as expected, per candidate."""
-    s = B.candidate_skills(spark, sf).withColumnRenamed("candidate_id", "case_id")
+    s = B.staged(spark, sf, B.candidate_skills).withColumnRenamed("candidate_id", "case_id")
     return s.where("years >= 2"), s.where("uses >= 3")
 
 
@@ -288,7 +288,7 @@ def _(spark, sf):
 def _(spark, sf):
     f1 = EX.compare_sets(*skill_sets(spark, sf), ["case_id"], "name").select(
         "case_id", F.col("f1").alias("skills_f1"))
-    people = B.candidates(spark, sf).select(
+    people = B.staged(spark, sf, B.candidates).select(
         F.col("candidate_id").alias("case_id"), "full_name", "email", "location", "headline",
         F.concat(F.lit("06"), F.col("candidate_id")).alias("phone"), "total_experience_years")
     off = F.col("case_id") % 5 == 0
@@ -434,7 +434,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Applications arrive as files and are scored against the static tables."""
     folder = work_path(spark, "arrivals")
-    B.applications(spark, sf).write.parquet(folder)
+    B.staged(spark, sf, B.applications).write.parquet(folder)
     schema = spark.read.parquet(folder).schema
     static = B.tables(spark, sf)
     profiles = cut_lineage(SC.candidate_profiles(static, B.REF_YEAR))

@@ -33,10 +33,10 @@ REF = B.REF_DATE
     FROM applications a JOIN candidates p USING (candidate_id) JOIN offers o USING (offer_id)""",
        "applications candidates offers")
 def _(spark, sf):
-    a = B.applications(spark, sf)
-    p = B.candidates(spark, sf).select(
+    a = B.staged(spark, sf, B.applications)
+    p = B.staged(spark, sf, B.candidates).select(
         "candidate_id", "full_name", F.col("location").alias("candidate_location"))
-    o = B.offers(spark, sf).select("offer_id", "title", F.col("location").alias("offer_location"))
+    o = B.staged(spark, sf, B.offers).select("offer_id", "title", F.col("location").alias("offer_location"))
     return a.join(p, "candidate_id").join(o, "offer_id").select(
         "application_id", "stage", day("applied_at").alias("applied_at"), "full_name",
         "candidate_location", "title", "offer_location")
@@ -46,14 +46,14 @@ def _(spark, sf):
     SELECT application_id, stage FROM applications WHERE stage NOT IN ('rejected', 'withdrawn')""",
        "applications")
 def _(spark, sf):
-    return SC.open_applications(B.applications(spark, sf)).select("application_id", "stage")
+    return SC.open_applications(B.staged(spark, sf, B.applications)).select("application_id", "stage")
 
 
 @query("list_by_offer_and_stage", """
     SELECT application_id, candidate_id FROM applications WHERE offer_id = 7 AND stage = 'technical'
     """, "applications")
 def _(spark, sf):
-    return FL.by_offer_and_stage(B.applications(spark, sf), 7, "technical").select(
+    return FL.by_offer_and_stage(B.staged(spark, sf, B.applications), 7, "technical").select(
         "application_id", "candidate_id")
 
 
@@ -66,8 +66,8 @@ def _(spark, sf):
     FROM applications JOIN candidates p USING (candidate_id) JOIN offers USING (offer_id)""",
        "applications candidates offers")
 def _(spark, sf):
-    rows = B.applications(spark, sf).join(B.candidates(spark, sf), "candidate_id").join(
-        B.offers(spark, sf).select("offer_id", "blind_screening"), "offer_id")
+    rows = B.staged(spark, sf, B.applications).join(B.staged(spark, sf, B.candidates), "candidate_id").join(
+        B.staged(spark, sf, B.offers).select("offer_id", "blind_screening"), "offer_id")
     return P.mask_candidates(rows, F.col("blind_screening")).select(
         "application_id", "full_name", "email", "location", "blind")
 
@@ -85,7 +85,7 @@ _RECENT = f"""
            {r('years')} AS years
     FROM ({_RECENT}) WHERE pos <= 4""", "experiences")
 def _(spark, sf):
-    e = P.listed_experiences(B.experiences(spark, sf), REF, blind=True)
+    e = P.listed_experiences(B.staged(spark, sf, B.experiences), REF, blind=True)
     return e.select("candidate_id", F.col("pos").cast("long").alias("pos"), "title", "employer",
                     rounded(F.col("years")).alias("years"))
 
@@ -106,7 +106,7 @@ def _(spark, sf):
        "candidates candidate_skills experiences")
 def _(spark, sf):
     return P.masked_summary(
-        B.candidates(spark, sf), B.candidate_skills(spark, sf), B.experiences(spark, sf), REF, True)
+        B.staged(spark, sf, B.candidates), B.staged(spark, sf, B.candidate_skills), B.staged(spark, sf, B.experiences), REF, True)
 
 
 @query("record_summary", """
@@ -121,8 +121,8 @@ def _(spark, sf):
        "candidates candidate_skills experiences education")
 def _(spark, sf):
     return P.record_summary(
-        B.candidates(spark, sf), B.candidate_skills(spark, sf), B.experiences(spark, sf),
-        B.education(spark, sf), F.col("uses") >= 2)
+        B.staged(spark, sf, B.candidates), B.staged(spark, sf, B.candidate_skills), B.staged(spark, sf, B.experiences),
+        B.staged(spark, sf, B.education), F.col("uses") >= 2)
 
 
 @query("profile_documents", """
@@ -139,21 +139,21 @@ def _(spark, sf):
     LEFT JOIN ed USING (candidate_id) LEFT JOIN ce USING (candidate_id)""",
        "candidates candidate_skills experiences education certifications")
 def _(spark, sf):
-    return P.profile_documents(B.candidates(spark, sf), [
-        (B.candidate_skills(spark, sf), "name", ["name"]),
-        (B.experiences(spark, sf), "experience_id", ["title", "company"]),
-        (B.education(spark, sf), "degree", ["degree", "institution"]),
-        (B.certifications(spark, sf), "name", ["name"]),
+    return P.profile_documents(B.staged(spark, sf, B.candidates), [
+        (B.staged(spark, sf, B.candidate_skills), "name", ["name"]),
+        (B.staged(spark, sf, B.experiences), "experience_id", ["title", "company"]),
+        (B.staged(spark, sf, B.education), "degree", ["degree", "institution"]),
+        (B.staged(spark, sf, B.certifications), "name", ["name"]),
     ])
 
 
 # --- Structured filter ----------------------------------------------------------------
 def raw_filters(spark, sf):
     """Two filter rows per offer, built from the offer's own requirements."""
-    asked = B.job_skills(spark, sf).groupBy("offer_id").agg(
+    asked = B.staged(spark, sf, B.job_skills).groupBy("offer_id").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "name"))).alias("s"))
     names = F.transform("s", lambda x: x["name"])
-    base = B.offers(spark, sf).select("offer_id", "location").join(asked, "offer_id")
+    base = B.staged(spark, sf, B.offers).select("offer_id", "location").join(asked, "offer_id")
     strict = base.select(
         F.concat(F.lit("strict-"), F.col("offer_id")).alias("query_id"), "offer_id",
         F.concat(F.slice(names, 1, 1), F.array(F.lit(" English "), F.lit(""))).alias("skills_all"),
@@ -275,14 +275,14 @@ def _(spark, sf):
 @query("stage_counts", "SELECT stage, count(*) AS total FROM applications GROUP BY 1",
        "applications")
 def _(spark, sf):
-    return DB.count_by(B.applications(spark, sf), "stage")
+    return DB.count_by(B.staged(spark, sf, B.applications), "stage")
 
 
 @query("skill_popularity", """
     SELECT name, count(DISTINCT candidate_id) AS total FROM candidate_skills GROUP BY 1""",
        "candidate_skills")
 def _(spark, sf):
-    return DB.distinct_candidates(B.candidate_skills(spark, sf), "name")
+    return DB.distinct_candidates(B.staged(spark, sf, B.candidate_skills), "name")
 
 
 _FOLD = """c AS (SELECT {label}, count(DISTINCT candidate_id) AS total FROM {table} GROUP BY 1),
@@ -297,7 +297,7 @@ _FOLD = """c AS (SELECT {label}, count(DISTINCT candidate_id) AS total FROM {tab
 @query("skill_chart_folded", "WITH " + _FOLD.format(label="name", table="candidate_skills", top=8),
        "candidate_skills")
 def _(spark, sf):
-    counts = DB.distinct_candidates(B.candidate_skills(spark, sf), "name")
+    counts = DB.distinct_candidates(B.staged(spark, sf, B.candidate_skills), "name")
     return R.fold_tail(counts, "name", "total", V.CHART_TOP)
 
 
@@ -305,7 +305,7 @@ def _(spark, sf):
        "WITH " + _FOLD.format(label="language", table="candidate_languages", top=8),
        "candidate_languages")
 def _(spark, sf):
-    counts = DB.distinct_candidates(B.candidate_languages(spark, sf), "language")
+    counts = DB.distinct_candidates(B.staged(spark, sf, B.candidate_languages), "language")
     return R.fold_tail(counts, "language", "total", V.CHART_TOP)
 
 
@@ -323,7 +323,7 @@ def _bands_sql(bands, value, source):
        _bands_sql(V.EXPERIENCE_BANDS, "total_experience_years", "candidates"), "candidates")
 def _(spark, sf):
     return DB.banded_counts(
-        B.candidates(spark, sf), F.col("total_experience_years"), V.EXPERIENCE_BANDS)
+        B.staged(spark, sf, B.candidates), F.col("total_experience_years"), V.EXPERIENCE_BANDS)
 
 
 @query("score_bands", _bands_sql(V.SCORE_BANDS, "effective", "latest"), "latest")
@@ -350,8 +350,8 @@ def _(spark, sf):
 
 def _board(spark, sf):
     return DB.hr_dashboard(
-        B.applications(spark, sf), B.candidates(spark, sf), B.candidate_skills(spark, sf),
-        B.candidate_languages(spark, sf), B.offers(spark, sf),
+        B.staged(spark, sf, B.applications), B.staged(spark, sf, B.candidates), B.staged(spark, sf, B.candidate_skills),
+        B.staged(spark, sf, B.candidate_languages), B.staged(spark, sf, B.offers),
         R.latest_scores(B.score_history(spark, sf)), REF, V.DEFAULT_THRESHOLD)
 
 
@@ -425,7 +425,7 @@ def _(spark, sf):
     FROM (SELECT offer_id, candidate_id AS application_id FROM applications) o
     LEFT JOIN latest l USING (application_id) GROUP BY 1""", "applications latest")
 def _(spark, sf):
-    apps = B.applications(spark, sf).select("offer_id", F.col("candidate_id").alias("application_id"))
+    apps = B.staged(spark, sf, B.applications).select("offer_id", F.col("candidate_id").alias("application_id"))
     return DB.ranking_status(apps, R.latest_scores(B.score_history(spark, sf)))
 
 
@@ -433,7 +433,7 @@ def _(spark, sf):
     SELECT offer_id, count(application_id) AS applications
     FROM offers LEFT JOIN applications USING (offer_id) GROUP BY 1""", "offers applications")
 def _(spark, sf):
-    return DB.applications_per_offer(B.offers(spark, sf), B.applications(spark, sf))
+    return DB.applications_per_offer(B.staged(spark, sf, B.offers), B.staged(spark, sf, B.applications))
 
 
 # --- Histories ------------------------------------------------------------------------------
@@ -441,7 +441,7 @@ def _(spark, sf):
     SELECT candidate_id, {r('total_experience_years')} AS total_experience_years FROM tenure""",
        "tenure")
 def _(spark, sf):
-    t = I.merged_tenure(B.experiences(spark, sf), REF)
+    t = I.merged_tenure(B.staged(spark, sf, B.experiences), REF)
     return t.withColumn("total_experience_years", rounded(F.col("total_experience_years")))
 
 
@@ -455,7 +455,7 @@ def _(spark, sf):
             THEN 0 ELSE 1 END AS opens FROM valid_periods)) GROUP BY candidate_id, isl""",
        "valid_periods")
 def _(spark, sf):
-    valid = I.closed_periods(B.experiences(spark, sf), REF).where("end_date > start_date")
+    valid = I.closed_periods(B.staged(spark, sf, B.experiences), REF).where("end_date > start_date")
     m = I.merge_intervals(I.by_start_day(valid))
     return m.select("candidate_id", day("start_date").alias("start_date"),
                     day("end_date").alias("end_date"))
@@ -505,7 +505,7 @@ def _(spark, sf):
     declared = B.read(spark, sf, "customer").select(
         F.col("c_custkey").alias("candidate_id"),
         (F.col("c_custkey") % 9).cast("double").alias("declared_years"))
-    f = CO.coherence(B.experiences(spark, sf), B.education(spark, sf), declared, "2001-06-01")
+    f = CO.coherence(B.staged(spark, sf, B.experiences), B.staged(spark, sf, B.education), declared, "2001-06-01")
     return f.withColumn("amount", rounded(F.col("amount")))
 
 
@@ -513,7 +513,7 @@ def _(spark, sf):
     WITH {_FINDINGS} SELECT candidate_id, first_id, second_id, amount FROM findings
     WHERE code = 'overlap'""", "experiences education")
 def _(spark, sf):
-    return CO.overlaps(B.experiences(spark, sf), "2001-06-01").select(
+    return CO.overlaps(B.staged(spark, sf, B.experiences), "2001-06-01").select(
         "candidate_id", "first_id", "second_id", "amount")
 
 
@@ -521,7 +521,7 @@ def _(spark, sf):
     WITH {_FINDINGS} SELECT candidate_id, amount FROM findings WHERE code = 'break'""",
        "experiences education")
 def _(spark, sf):
-    return CO.breaks(B.experiences(spark, sf), "2001-06-01").select("candidate_id", "amount")
+    return CO.breaks(B.staged(spark, sf, B.experiences), "2001-06-01").select("candidate_id", "amount")
 
 
 @query("history_verifiability", f"""
@@ -529,7 +529,7 @@ def _(spark, sf):
            count(start_date) >= 2 AS verifiable, {r('count(start_date)::DOUBLE / count(*)')}
              AS coverage FROM experiences GROUP BY 1""", "experiences")
 def _(spark, sf):
-    v = CO.verifiability(B.experiences(spark, sf))
+    v = CO.verifiability(B.staged(spark, sf, B.experiences))
     return v.withColumn("coverage", rounded(F.col("coverage")))
 
 
@@ -541,7 +541,7 @@ def _(spark, sf):
     FROM (SELECT candidate_id, coalesce(retention_until, created_at + 365) AS retention_until
           FROM candidates) WHERE retention_until <= DATE '{REF}' + 30""", "candidates")
 def _(spark, sf):
-    c = RT.with_default_retention(B.candidates(spark, sf))
+    c = RT.with_default_retention(B.staged(spark, sf, B.candidates))
     rows = RT.expired(c, REF).withColumn("state", F.lit("expired")).unionByName(
         RT.expiring_soon(c, REF).withColumn("state", F.lit("expiring")))
     return rows.select("candidate_id", day("retention_until").alias("retention_until"), "state",
@@ -556,9 +556,9 @@ def _(spark, sf):
     UNION ALL SELECT 'applications', count(*) FROM applications SEMI JOIN due USING (candidate_id)""",
        "candidates candidate_skills experiences applications")
 def _(spark, sf):
-    return RT.purge_plan(B.candidates(spark, sf), {
-        "candidate_skills": B.candidate_skills(spark, sf),
-        "experiences": B.experiences(spark, sf), "applications": B.applications(spark, sf)}, REF)
+    return RT.purge_plan(B.staged(spark, sf, B.candidates), {
+        "candidate_skills": B.staged(spark, sf, B.candidate_skills),
+        "experiences": B.staged(spark, sf, B.experiences), "applications": B.staged(spark, sf, B.applications)}, REF)
 
 
 @query("purge_survivors", f"""
@@ -566,7 +566,7 @@ def _(spark, sf):
       SELECT candidate_id FROM candidates WHERE retention_until < DATE '{REF}')""",
        "applications candidates")
 def _(spark, sf):
-    return RT.survivors(B.applications(spark, sf), B.candidates(spark, sf), REF).select(
+    return RT.survivors(B.staged(spark, sf, B.applications), B.staged(spark, sf, B.candidates), REF).select(
         "application_id")
 
 
@@ -575,7 +575,7 @@ def _(spark, sf):
            '{{"retention_until":"' || strftime(retention_until, '%Y-%m-%d') || '"}}' AS metadata
     FROM candidates WHERE retention_until < DATE '{REF}'""", "candidates")
 def _(spark, sf):
-    return RT.purge_audit(B.candidates(spark, sf), REF)
+    return RT.purge_audit(B.staged(spark, sf, B.candidates), REF)
 
 
 # --- Decisions -------------------------------------------------------------------------------------

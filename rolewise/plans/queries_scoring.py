@@ -34,7 +34,7 @@ def stored(spark, sf):
 
 @query("ontology_relatedness", "SELECT required, held, degree FROM relatedness", "relatedness")
 def _(spark, sf):
-    return B.relatedness(spark, sf).select("required", "held", "degree")
+    return B.staged(spark, sf, B.relatedness).select("required", "held", "degree")
 
 
 @query("skill_matching", f"""

@@ -67,7 +67,7 @@ _RRF = """fused AS (
 
 
 def docs(spark, sf):
-    return B.read(spark, sf, "documents").select("doc_id", "text")
+    return B.read_texts(spark, sf, "documents").select("doc_id", "text")
 
 
 def asks(spark, sf):
@@ -322,7 +322,7 @@ def merge_groups(spark, sf):
     keyed = customer.select(F.col("c_custkey").alias("record_id"), key.alias("k"))
     sized = keyed.groupBy("k").agg(F.min("record_id").alias("group_id"), F.count("*").alias("n"))
     groups = keyed.join(sized.where("n > 1"), "k").select("record_id", "group_id")
-    records = B.candidates(spark, sf).select(F.col("candidate_id").alias("record_id"), "created_at")
+    records = B.staged(spark, sf, B.candidates).select(F.col("candidate_id").alias("record_id"), "created_at")
     return cut_lineage(LK.survivors(groups, records))
 
 
@@ -331,7 +331,7 @@ def merge_groups(spark, sf):
     FROM candidate_skills JOIN moved USING (candidate_id) GROUP BY 1, 2""",
        "candidates candidate_skills")
 def _(spark, sf):
-    return LK.merge_skills(B.candidate_skills(spark, sf), merge_groups(spark, sf))
+    return LK.merge_skills(B.staged(spark, sf, B.candidate_skills), merge_groups(spark, sf))
 
 
 @query("merge_languages", f"""
@@ -340,7 +340,7 @@ def _(spark, sf):
     FROM candidate_languages JOIN moved USING (candidate_id) GROUP BY primary_id, lower(trim(language))""",
        "candidates candidate_languages")
 def _(spark, sf):
-    return LK.merge_languages(B.candidate_languages(spark, sf), merge_groups(spark, sf))
+    return LK.merge_languages(B.staged(spark, sf, B.candidate_languages), merge_groups(spark, sf))
 
 
 @query("merge_applications", f"""
@@ -350,7 +350,7 @@ def _(spark, sf):
         AS rn FROM applications JOIN moved USING (candidate_id)) WHERE rn = 1""",
        "candidates applications")
 def _(spark, sf):
-    return LK.merge_applications(B.applications(spark, sf), merge_groups(spark, sf))
+    return LK.merge_applications(B.staged(spark, sf, B.applications), merge_groups(spark, sf))
 
 
 @query("merge_fields", f"""
@@ -359,7 +359,7 @@ def _(spark, sf):
            strftime(max(retention_until), '%Y-%m-%d') AS retention_until
     FROM candidates JOIN moved USING (candidate_id) GROUP BY 1""", "candidates")
 def _(spark, sf):
-    m = LK.merge_fields(B.candidates(spark, sf), merge_groups(spark, sf), ("full_name",),
+    m = LK.merge_fields(B.staged(spark, sf, B.candidates), merge_groups(spark, sf), ("full_name",),
                         ("highest_education", "retention_until"))
     return m.withColumn("retention_until", F.date_format("retention_until", "yyyy-MM-dd"))
 
@@ -368,7 +368,7 @@ def _(spark, sf):
     WITH {_MERGE} SELECT experience_id, coalesce(primary_id, e.candidate_id) AS candidate_id
     FROM experiences e LEFT JOIN moved USING (candidate_id)""", "candidates experiences")
 def _(spark, sf):
-    return LK.reparent(B.experiences(spark, sf), merge_groups(spark, sf)).select(
+    return LK.reparent(B.staged(spark, sf, B.experiences), merge_groups(spark, sf)).select(
         "experience_id", "candidate_id")
 
 
@@ -440,7 +440,7 @@ def _current(spark, sf):
            - (o.status = 'open')::INT AS offers_examined
     FROM applications JOIN offers o USING (offer_id)""", "applications offers")
 def _(spark, sf):
-    return RD.offers_examined(B.applications(spark, sf), B.offers(spark, sf))
+    return RD.offers_examined(B.staged(spark, sf, B.applications), B.staged(spark, sf, B.offers))
 
 
 # The SQL side scores every (candidate, open offer) pair through the same views
