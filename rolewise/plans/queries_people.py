@@ -147,6 +147,16 @@ def _(spark, sf):
     ])
 
 
+@query("highest_education", """
+    SELECT candidate_id, max(CASE WHEN p_size <= 0 THEN 0 WHEN p_size <= 2 THEN 1 WHEN p_size <= 4 THEN 3
+             WHEN p_size <= 6 THEN 5 ELSE 8 END) AS highest_education
+    FROM purchases JOIN part ON l_partkey = p_partkey GROUP BY 1""", "purchases")
+def _(spark, sf):
+    level = D.nearest_education_level(F.col("p_size").cast("string"))
+    sizes = B.read(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), level.alias("level"))
+    return P.highest_education(B.purchases(spark, sf).join(sizes, "l_partkey"))
+
+
 # --- Structured filter ----------------------------------------------------------------
 def raw_filters(spark, sf):
     """Two filter rows per offer, built from the offer's own requirements."""
