@@ -73,7 +73,7 @@ def purchases(spark, sf_dir) -> DataFrame:
 def applications(spark, sf_dir) -> DataFrame:
     stage = F.pmod(F.col("candidate_id") * 7 + F.col("offer_id") * 3, F.lit(9))
     return (
-        purchases(spark, sf_dir)
+        staged(spark, sf_dir, purchases)
         .groupBy("candidate_id", "offer_id")
         .agg(F.min("day").alias("applied_at"))
         .withColumn("application_id", F.concat_ws("-", "candidate_id", "offer_id"))
@@ -144,7 +144,7 @@ def candidate_skills(spark, sf_dir) -> DataFrame:
         ontology.canonical(F.col("p_brand"), BRAND_ALIASES).alias("name"),
     )
     return (
-        purchases(spark, sf_dir)
+        staged(spark, sf_dir, purchases)
         .join(part, "l_partkey")
         .groupBy("candidate_id", "name", F.year("day").alias("year"))
         .agg(F.count("*").alias("uses"))
@@ -177,7 +177,7 @@ def candidate_languages(spark, sf_dir) -> DataFrame:
 def certifications(spark, sf_dir) -> DataFrame:
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
     return (
-        purchases(spark, sf_dir)
+        staged(spark, sf_dir, purchases)
         .where("l_quantity >= 40")
         .join(part, "l_partkey")
         .groupBy("candidate_id", F.col("p_type").alias("name"))

@@ -17,6 +17,8 @@ def local_session(cores: int | str = 8, app: str = "rolewise", **conf: str) -> S
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
+        # Scoring is heavy per byte: keep all cores busy on small tables too.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
