@@ -68,6 +68,6 @@ def recommend(curve: DataFrame) -> DataFrame:
 def sampled_curve(curve: DataFrame, every: int = 5) -> DataFrame:
     """Every n-th point for display, plus the recommended one."""
     chosen = recommend(curve).select("threshold", F.lit(True).alias("recommended"))
-    marked = curve.join(F.broadcast(chosen), "threshold", "left").na.fill(False, ["recommended"])
+    marked = curve.join(chosen, "threshold", "left").na.fill(False, ["recommended"])
     step = F.round(F.col("threshold") * 100).cast("int")
     return marked.where((step % every == 0) | F.col("recommended"))

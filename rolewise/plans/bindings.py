@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from rolewise import fixed_values as V
 from rolewise.functions import weights as WT
-from rolewise.functions.text import canonical_form
 from rolewise.operators import intervals, ontology
 from rolewise.operators.scoring import Tables
 from rolewise.session import cut_lineage
@@ -385,6 +384,3 @@ def linkage_records(spark, sf_dir) -> DataFrame:
         F.col("doc_id").alias("created_seq"),
     )
 
-
-def brand_text(name):
-    return canonical_form(F.col(name))
