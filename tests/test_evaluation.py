@@ -31,7 +31,7 @@ def test_percentile(spark, values, fraction, expected):
 
 @pytest.mark.parametrize("ranked, ndcg, precision, pairs", [
     ([3, 2, 1, 0], 1.0, 1.0, 1.0), ([0, 0, 0], 0.0, 1.0, 1.0), ([0, 1, 2, 3], None, 1 / 2, 0.0),
-    ([3, 1, 2, 0], None, 1.0, 5 / 6), ([2, 2, 2], 1.0, 1.0, 1.0), ([3, 0, 0, 2], None, 0.5, 4 / 5),
+    ([3, 1, 2, 0], None, 1.0, 5 / 6), ([2, 2, 2], 1.0, 1.0, 1.0), ([3, 0, 0, 2], None, 0.5, 3 / 5),
 ])
 def test_ranking_goldens(spark, ranked, ndcg, precision, pairs):
     row = M.ranking_metrics(cases(spark, ranked)).first()
