@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from rolewise.llm import mixing
+from rolewise.llm import mixing, simhash
 from rolewise.llm.common import Query
 
 QUERIES: dict[str, Query] = {
     "op6_source_mixing": mixing.op6_source_mixing,
+    "op10_simhash_blocks": simhash.op10_simhash_blocks,
 }
 ORACLES: dict[str, str] = {
     "op6_source_mixing": mixing.OP6_SQL,
