@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from rolewise.llm import mixing, simhash
+from rolewise.llm import mixing, simhash, tokens
 from rolewise.llm.common import Query
 
 QUERIES: dict[str, Query] = {
+    "op2_token_counts": tokens.op2_token_counts,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op10_simhash_blocks": simhash.op10_simhash_blocks,
 }
