@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from rolewise.llm import language, mixing, simhash, tokens
+from rolewise.llm import language, lines, mixing, simhash, tokens
 from rolewise.llm.common import Query
 
 QUERIES: dict[str, Query] = {
     "op2_token_counts": tokens.op2_token_counts,
+    "op5_line_winnowing": lines.op5_line_winnowing,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op9_compression_language": language.op9_compression_language,
     "op10_simhash_blocks": simhash.op10_simhash_blocks,
