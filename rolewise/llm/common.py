@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +56,10 @@ def word_lists(data: bytes, size: int = PIECE) -> Iterator[list[bytes]]:
     """The words of a text in lists of bounded length, in order."""
     for part in pieces(data, size):
         yield part.split()
+
+
+def slices(source: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that what a task builds from one stays small."""
+    for batch in source:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from rolewise.llm import language, lines, mixing, simhash, tokens
+from rolewise.llm import decontamination, language, lines, mixing, simhash, tokens
 from rolewise.llm.common import Query
 
 QUERIES: dict[str, Query] = {
+    "op1_cgk_decontamination": decontamination.op1_cgk_decontamination,
     "op2_token_counts": tokens.op2_token_counts,
     "op5_line_winnowing": lines.op5_line_winnowing,
     "op6_source_mixing": mixing.op6_source_mixing,

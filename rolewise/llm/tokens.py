@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolewise.llm.common import documents
+from rolewise.llm.common import documents, slices
 
 LIMIT = 512
 #: Rows of the frequent table and pre-tokens of a worker's cache, at most.
@@ -163,15 +163,13 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counting = Counting(path, frequent.value)
-        for batch in source:
-            for start in range(0, batch.num_rows, BATCH):
-                part = batch.slice(start, BATCH)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"),
-                    pa.array([len(t.encode("utf-8")) for t in texts], pa.int64()),
-                    pa.array(counting.texts(texts), pa.int64()),
-                ], names=["doc_id", "n_bytes", "n_tokens"])
+        for batch in slices(source, BATCH):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"),
+                pa.array([len(t.encode("utf-8")) for t in texts], pa.int64()),
+                pa.array(counting.texts(texts), pa.int64()),
+            ], names=["doc_id", "n_bytes", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
