@@ -17,7 +17,8 @@ smallest of them. Both ways lose no link and make none that is too far.
 Cases: a null or empty text, or one of white space, has fingerprint zero and is
 linked like any other; a null doc_id is left out of the result, as it can name
 no component; rows of one doc_id with several texts keep one row each; an empty
-table gives an empty result; further columns are ignored.
+table gives an empty result; further columns are carried by `representatives` and
+ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolewise.llm.common import documents, word_lists
+from rolewise.llm.common import documents, slices, unused, word_lists
 from rolewise.operators.linkage import connected_components
 from rolewise.session import cut_lineage
 
@@ -67,15 +68,17 @@ def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, sig, fp): the fingerprint as a signed long; `sig` is a hash of the text."""
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in slices(source):
             found = np.array([fingerprint(t.as_py(), width) for t in batch.column("text")], dtype="u8")
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(found.view("i8"))], names=["doc_id", "fp"])
+                [batch.column("doc_id"), batch.column("sig"), pa.array(found.view("i8"))],
+                names=["doc_id", "sig", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, fp bigint")
+    return docs.select("doc_id", F.xxhash64("text").alias("sig"), "text").mapInArrow(
+        batches, f"doc_id {kind}, sig bigint, fp bigint")
 
 
 def block_masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
@@ -118,7 +121,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS,
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest doc_id that links lead to."""
+    """(doc_id, sig, fp, component_id): the smallest doc_id that links lead to."""
     prints = cut_lineage(fingerprints(docs).where("doc_id IS NOT NULL"), "prints")
     nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     edges = links(nodes.select("fp"))
@@ -131,6 +134,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(classes, "fp")
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """One document of each group, the one with the smallest doc_id, with all columns.
+
+    Documents without an id belong to no group and stay.
+    """
+    of, sig, text_sig = (unused(n, docs) for n in ("kept_id", "kept_sig", "text_sig"))
+    kept = near_duplicates(docs).where("doc_id = component_id").groupBy(
+        F.col("doc_id").alias(of)).agg(F.min("sig").alias(sig))
+    marked = docs.withColumn(text_sig, F.xxhash64("text"))
+    named = marked.where("doc_id IS NOT NULL").join(
+        kept, F.expr(f"doc_id = {of} AND {text_sig} = {sig}"), "left_semi")
+    single = named.dropDuplicates(["doc_id", text_sig])
+    return single.unionByName(marked.where("doc_id IS NULL")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def hexadecimal(fp: Column) -> Column:
     """16 lowercase hex digits of a long taken as unsigned."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
