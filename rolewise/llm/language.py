@@ -94,11 +94,15 @@ def learn(labelled: DataFrame) -> list[tuple[str, bytes]]:
     Documents are picked by a hash of their text, each gives its middle piece.
     """
     usable = labelled.where("lang IS NOT NULL")
-    counts = usable.groupBy("lang").count()
-    share = F.lit(2 * SAMPLE_DOCS) / F.col("count")
+    counts = usable.groupBy("lang").count().collect()
+    languages = sorted(counts, key=lambda r: (-r["count"], r.lang.encode()))
+    if not languages:
+        return []
+    # About twice the sample by hash, so that no language's texts are shuffled whole.
+    share = F.create_map(*[F.lit(v) for r in languages for v in (r.lang, 2.0 * SAMPLE_DOCS / r["count"])])
     order = F.xxhash64("text")
-    picked = usable.where("text <> ''").join(counts, "lang").where(
-        F.pmod(order, F.lit(1_000_003)) / 1_000_003 < share)
+    picked = usable.where("text <> ''").where(
+        F.pmod(order, F.lit(1_000_003)) / 1_000_003 < share[F.col("lang")])
     ranked = picked.select("lang", order.alias("order"), "text").withColumn(
         "r", F.row_number().over(W.partitionBy("lang").orderBy("order", "text"))
     ).where(F.col("r") <= SAMPLE_DOCS)
@@ -116,7 +120,6 @@ def learn(labelled: DataFrame) -> list[tuple[str, bytes]]:
 
     rows = ranked.select("lang", "r", "text").mapInArrow(
         batches, "lang string, r int, piece binary").collect()
-    languages = sorted(counts.collect(), key=lambda r: (-r["count"], r.lang.encode()))
     most = min(DICTIONARY, DICTIONARIES // max(1, len(languages)))
     parts: dict[str, list[bytes]] = {}
     for row in sorted(rows, key=lambda r: r.r):
