@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rolewise.llm import decontamination, language, lines, mixing, simhash, tokens
+from rolewise.llm import decontamination, language, lines, mixing, quality, simhash, tokens
 from rolewise.llm.common import Query
 
 QUERIES: dict[str, Query] = {
@@ -10,9 +10,11 @@ QUERIES: dict[str, Query] = {
     "op2_token_counts": tokens.op2_token_counts,
     "op5_line_winnowing": lines.op5_line_winnowing,
     "op6_source_mixing": mixing.op6_source_mixing,
+    "op7_rule_ledger": quality.op7_rule_ledger,
     "op9_compression_language": language.op9_compression_language,
     "op10_simhash_blocks": simhash.op10_simhash_blocks,
 }
 ORACLES: dict[str, str] = {
     "op6_source_mixing": mixing.OP6_SQL,
+    "op7_rule_ledger": quality.OP7_SQL,
 }
