@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolewise.llm.common import documents, unused
+from rolewise.llm.common import documents, slices, unused
 from rolewise.session import cut_lineage
 
 MIN_WORDS = 25
@@ -92,7 +92,7 @@ def line_tables(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     times in the document itself.
     """
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in slices(source):
             kept, hashes, words, marks, often = [], [], [], [], []
             for at, text in enumerate(batch.column("text")):
                 h, w = line_hashes(text.as_py().encode("utf-8"))
@@ -105,7 +105,7 @@ def line_tables(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
                 words.append(w.astype(np.int32))
                 marks.append(selected)
                 often.append(np.intersect1d(selected, values[counts > 1]))
-            picked = batch.take(pa.array(kept, pa.int32()))
+            picked = batch.select(["doc_id", "sig"]).take(pa.array(kept, pa.int32()))
             yield pa.RecordBatch.from_arrays([
                 picked.column("doc_id"), picked.column("sig"),
                 pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())),
@@ -138,7 +138,7 @@ def candidate_windows(tables: DataFrame, least: int = MIN_WORDS) -> DataFrame:
         asked, F.expr("doc_id <=> of AND sig = of_sig"))
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in slices(source):
             at, keys, starts, ends = [], [], [], []
             for k in range(batch.num_rows):
                 h = batch.column("hashes")[k].values.to_numpy(zero_copy_only=False)
@@ -151,7 +151,7 @@ def candidate_windows(tables: DataFrame, least: int = MIN_WORDS) -> DataFrame:
                 at.append(np.full(len(first), k))
                 starts.append(first)
                 ends.append(last)
-            picked = batch.take(pa.array(np.concatenate(at) if at else [], pa.int64()))
+            picked = batch.select(["doc_id", "sig"]).take(pa.array(np.concatenate(at) if at else [], pa.int64()))
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.array(keys, dtype="u8").view("i8")),
                 picked.column("doc_id"), picked.column("sig"),
@@ -215,7 +215,7 @@ def delete_runs(docs: DataFrame, least: int = MIN_WORDS,
     columns = docs.columns
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in slices(source):
             texts, lines, words = [], [], []
             for text, cut in zip(batch.column("text"), batch.column(runs)):
                 text, cut = text.as_py(), cut.as_py()
