@@ -270,7 +270,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             items = Items(*shipped.value).prepare()
             for batch in slices(source):
                 found = items.search(batch.column("text").to_pylist())
-                picked = batch.take(pa.array([f[0] for f in found], pa.int64()))
+                picked = batch.select(["doc_id"]).take(pa.array([f[0] for f in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays([
                     picked.column("doc_id"),
                     pa.array([items.ids[f[1]] for f in found], item_type),
