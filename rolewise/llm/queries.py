@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from rolewise.llm import decontamination, language, lines, mixing, quality, simhash, tokens
+from rolewise.llm import decontamination, language, lines, mixing, quality, scoring, simhash, tokens
 from rolewise.llm.common import Query
 
 QUERIES: dict[str, Query] = {
     "op1_cgk_decontamination": decontamination.op1_cgk_decontamination,
     "op2_token_counts": tokens.op2_token_counts,
+    "op3_maxent_scoring": scoring.op3_maxent_scoring,
     "op5_line_winnowing": lines.op5_line_winnowing,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op7_rule_ledger": quality.op7_rule_ledger,
