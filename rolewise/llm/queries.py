@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from rolewise.llm import decontamination, language, lines, mixing, quality, scoring, simhash, tokens
+from rolewise.llm import decontamination, language, lines, mixing, quality, scoring, simhash, tokens, warc
 from rolewise.llm.common import Query
 
 QUERIES: dict[str, Query] = {
     "op1_cgk_decontamination": decontamination.op1_cgk_decontamination,
     "op2_token_counts": tokens.op2_token_counts,
     "op3_maxent_scoring": scoring.op3_maxent_scoring,
+    "op4_revisit_resolution": warc.op4_revisit_resolution,
     "op5_line_winnowing": lines.op5_line_winnowing,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op7_rule_ledger": quality.op7_rule_ledger,
@@ -16,6 +17,7 @@ QUERIES: dict[str, Query] = {
     "op10_simhash_blocks": simhash.op10_simhash_blocks,
 }
 ORACLES: dict[str, str] = {
+    "op4_revisit_resolution": warc.OP4_SQL,
     "op6_source_mixing": mixing.OP6_SQL,
     "op7_rule_ledger": quality.OP7_SQL,
 }
