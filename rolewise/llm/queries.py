@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rolewise.llm import decontamination, language, lines, mixing, quality, scoring, simhash, tokens, warc
+from rolewise.llm import decontamination, language, lines, mixing, private, quality, scoring, simhash, tokens, warc
 from rolewise.llm.common import Query
 
 QUERIES: dict[str, Query] = {
@@ -13,6 +13,7 @@ QUERIES: dict[str, Query] = {
     "op5_line_winnowing": lines.op5_line_winnowing,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op7_rule_ledger": quality.op7_rule_ledger,
+    "op8_skip_chain_pii": private.op8_skip_chain_pii,
     "op9_compression_language": language.op9_compression_language,
     "op10_simhash_blocks": simhash.op10_simhash_blocks,
 }
