@@ -25,11 +25,11 @@ are carried.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,34 +38,41 @@ from rolewise.llm.common import documents, slices, unused
 from rolewise.session import cut_lineage
 
 MIN_WORDS = 25
-_ENDS = re.compile(rb"(\n|(?<=[.!?])[ \t]+)")
 
 
-def split_lines(data: bytes) -> tuple[list[bytes], list[bytes]]:
-    """(lines, what stands behind each); joined they are the text again."""
-    parts = _ENDS.split(data)
-    return parts[::2], [*parts[1::2], b""]
+def split_lines(data: bytes) -> list[bytes]:
+    """The lines of a text; one byte, a line feed or a space, stands behind each but the last."""
+    for mark in (b".", b"!", b"?"):
+        data = data.replace(mark + b" ", mark + b"\n")
+    return data.split(b"\n")
 
 
-def line_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def line_hashes(data: bytes) -> tuple[list[int], list[int]]:
     """Hashes and numbers of words of the lines that have a word."""
     digest, hashes, words = xxhash.xxh64_intdigest, [], []
-    for line in split_lines(data)[0]:
+    for line in split_lines(data):
         n = len(line.split())
         if n:
             hashes.append(digest(line.strip()))
             words.append(n)
-    return np.array(hashes, dtype="u8").view("i8"), np.array(words, dtype=np.int64)
+    return hashes, words
 
 
-def windows(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last lines of the shortest runs with `least` words, both ways."""
+def windows(words: np.ndarray, least: int, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """First and last lines of the shortest runs with `least` words, both ways.
+
+    Lines of several documents may stand one after the other, `sizes` lines of
+    each; no run reaches over the end of a document.
+    """
     upto = np.concatenate([[0], np.cumsum(words)])
     n = len(words)
+    sizes = np.array([n]) if sizes is None else sizes
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    begins = ends - np.repeat(sizes, sizes)
     last = np.searchsorted(upto, upto[:-1] + least) - 1
     first = np.searchsorted(upto, upto[1:] - least, side="right") - 1
     lines = np.arange(n)
-    forward, backward = last < n, upto[1:] >= least
+    forward, backward = last < ends, (first >= begins) & (upto[1:] >= least)
     both = np.concatenate([lines[forward] * n + last[forward], first[backward] * n + lines[backward]])
     both = np.unique(both)
     return both // max(n, 1), both % max(n, 1)
@@ -86,36 +93,46 @@ def lowest(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarra
 
 
 def line_tables(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, sig, hashes, words, marks, often) of documents long enough for a run.
+    """(doc_id, sig, hashes, words, marks) of documents long enough for a run.
 
-    `marks` are the selected fingerprints, `often` those that stand several
-    times in the document itself.
+    `marks` are the selected fingerprints, once more if several lines of the
+    document have them.
     """
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(source):
-            kept, hashes, words, marks, often = [], [], [], [], []
+            kept, hashes, words, sizes = [], [], [], []
             for at, text in enumerate(batch.column("text")):
                 h, w = line_hashes(text.as_py().encode("utf-8"))
-                if w.sum() < least:
-                    continue
-                selected = np.unique(lowest(h, *windows(w, least)))
-                values, counts = np.unique(h, return_counts=True)
-                kept.append(at)
-                hashes.append(h)
-                words.append(w.astype(np.int32))
+                if sum(w) >= least:
+                    kept.append(at)
+                    sizes.append(len(h))
+                    hashes += h
+                    words += w
+            h, w = np.array(hashes, dtype="u8").view("i8"), np.array(words, dtype=np.int64)
+            sizes = np.array(sizes, dtype=np.int64)
+            first, last = windows(w, least, sizes)
+            low = lowest(h, first, last)
+            bounds = np.append(0, np.cumsum(sizes))
+            cuts = np.searchsorted(first, bounds)
+            marks = []
+            for a, b, c, d in zip(bounds, bounds[1:], cuts, cuts[1:]):
+                selected, values = np.unique(low[c:d]), h[a:b]
+                if len(set(hashes[a:b])) < b - a:
+                    values, counts = np.unique(values, return_counts=True)
+                    selected = np.append(selected, np.intersect1d(selected, values[counts > 1]))
                 marks.append(selected)
-                often.append(np.intersect1d(selected, values[counts > 1]))
             picked = batch.select(["doc_id", "sig"]).take(pa.array(kept, pa.int32()))
+            ends = pa.array(bounds, pa.int32())
             yield pa.RecordBatch.from_arrays([
                 picked.column("doc_id"), picked.column("sig"),
-                pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())),
-                pa.array(marks, pa.list_(pa.int64())), pa.array(often, pa.list_(pa.int64())),
-            ], names=["doc_id", "sig", "hashes", "words", "marks", "often"])
+                pa.ListArray.from_arrays(ends, pa.array(h)),
+                pa.ListArray.from_arrays(ends, pa.array(w, pa.int32())),
+                pa.array(marks, pa.list_(pa.int64())),
+            ], names=["doc_id", "sig", "hashes", "words", "marks"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.where("text IS NOT NULL").select("doc_id", signature(), "text").mapInArrow(
-        batches, f"doc_id {kind}, sig int, hashes array<bigint>, words array<int>, "
-                 "marks array<bigint>, often array<bigint>")
+        batches, f"doc_id {kind}, sig int, hashes array<bigint>, words array<int>, marks array<bigint>")
 
 
 def signature() -> Column:
@@ -127,11 +144,18 @@ def same_document(left: DataFrame, right: DataFrame) -> Column:
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["sig"] == right["sig"])
 
 
+def _flat(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False)
+
+
 def candidate_windows(tables: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """(window, doc_id, sig, first, last): windows whose fingerprint occurs elsewhere."""
+    """(window, doc_id, sig, run): windows whose fingerprint occurs elsewhere.
+
+    `run` holds the first line in its upper and the last in its lower half.
+    """
     marks = tables.select("doc_id", "sig", F.explode("marks").alias("mark"))
-    counts = tables.select(F.explode(F.concat("marks", "often")).alias("mark")).groupBy("mark").count()
-    shared = marks.join(counts.where("count > 1"), "mark", "left_semi")
+    counts = marks.groupBy("mark").count().where("count > 1")
+    shared = marks.join(counts, "mark", "left_semi")
     asked = shared.groupBy("doc_id", "sig").agg(F.collect_set("mark").alias("shared"))
     asked = asked.select(F.col("doc_id").alias("of"), F.col("sig").alias("of_sig"), "shared")
     rows = tables.select("doc_id", "sig", "hashes", "words").join(
@@ -139,67 +163,59 @@ def candidate_windows(tables: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(source):
-            at, keys, starts, ends = [], [], [], []
-            for k in range(batch.num_rows):
-                h = batch.column("hashes")[k].values.to_numpy(zero_copy_only=False)
-                w = batch.column("words")[k].values.to_numpy(zero_copy_only=False).astype(np.int64)
-                first, last = windows(w, least)
-                found = np.isin(lowest(h, first, last), batch.column("shared")[k].values.to_numpy())
-                first, last, raw = first[found], last[found], h.astype("<i8").tobytes()
-                keys += [xxhash.xxh64_intdigest(raw[8 * a:8 * b + 8])
-                         for a, b in zip(first.tolist(), last.tolist())]
-                at.append(np.full(len(first), k))
-                starts.append(first)
-                ends.append(last)
-            picked = batch.select(["doc_id", "sig"]).take(pa.array(np.concatenate(at) if at else [], pa.int64()))
+            h, w = _flat(batch.column("hashes")), _flat(batch.column("words")).astype(np.int64)
+            sizes = np.array(batch.column("hashes").value_lengths())
+            first, last = windows(w, least, sizes)
+            # What is shared in one document of the slice is so in all of them.
+            found = np.isin(lowest(h, first, last), _flat(batch.column("shared")))
+            first, last, raw = first[found], last[found], h.astype("<i8").tobytes()
+            keys = [xxhash.xxh64_intdigest(raw[8 * a:8 * b + 8]) for a, b in zip(first.tolist(), last.tolist())]
+            begins = np.cumsum(sizes) - sizes
+            owner = np.searchsorted(begins + sizes, first, side="right")
+            picked = batch.select(["doc_id", "sig"]).take(pa.array(owner))
+            run = (first - begins[owner] << 32) + last - begins[owner]
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.array(keys, dtype="u8").view("i8")),
-                picked.column("doc_id"), picked.column("sig"),
-                pa.array(np.concatenate(starts) if at else [], pa.int32()),
-                pa.array(np.concatenate(ends) if at else [], pa.int32()),
-            ], names=["window", "doc_id", "sig", "first", "last"])
+                pa.array(np.array(keys, dtype="u8").view("i8")), picked.column("doc_id"),
+                picked.column("sig"), pa.array(run, pa.int64()),
+            ], names=["window", "doc_id", "sig", "run"])
 
     kind = tables.schema["doc_id"].dataType.simpleString()
     return rows.select("doc_id", "sig", "hashes", "words", "shared").mapInArrow(
-        batches, f"window bigint, doc_id {kind}, sig int, first int, last int")
+        batches, f"window bigint, doc_id {kind}, sig int, run bigint")
 
 
 def repeated_runs(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, sig, runs): lines to delete as an array of (first, last), perhaps overlapping.
+    """(doc_id, sig, runs): the runs to delete, perhaps overlapping, packed like `run`.
 
-    Equal windows are told by 64 bits over 64-bit line hashes, with the number
-    of lines beside them.
+    Equal windows are told by 64 bits over 64-bit line hashes.
     """
     tables = cut_lineage(line_tables(docs, least), "lines")
     rows = cut_lineage(candidate_windows(tables, least), "windows")
-    key = ["window", "lines"]
-    rows = rows.withColumn("lines", F.col("last") - F.col("first"))
-    place = F.struct("doc_id", "sig", "first")
-    firsts = rows.groupBy(*key).agg(F.min(place).alias("origin"), F.max(place).alias("final")).where(
+    place = F.struct("doc_id", "sig", "run")
+    firsts = rows.groupBy("window").agg(F.min(place).alias("origin"), F.max(place).alias("final")).where(
         "origin <> final").drop("final")
-    later = rows.join(firsts, key).where(place > F.col("origin"))
-    return later.groupBy("doc_id", "sig").agg(
-        F.collect_set(F.struct("first", "last")).alias("runs"))
+    later = rows.join(firsts, "window").where(place > F.col("origin"))
+    return later.groupBy("doc_id", "sig").agg(F.collect_list("run").alias("runs"))
 
 
-def without(data: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int, int]:
+def without(data: bytes, runs: np.ndarray) -> tuple[bytes, int, int]:
     """(text without the runs, lines deleted, words deleted)."""
-    lines, behind = split_lines(data)
+    lines = split_lines(data)
     gone = np.zeros(len(lines) + 1, dtype=np.int64)
-    for first, last in runs:
-        gone[first] += 1
-        gone[last + 1] -= 1
-    inside = np.cumsum(gone) > 0
-    kept, at, deleted, words = [], 0, 0, 0
-    for line, end in zip(lines, behind):
-        n = len(line.split())
+    np.add.at(gone, runs >> 32, 1)
+    np.subtract.at(gone, (runs & 0xFFFFFFFF) + 1, 1)
+    inside = (np.cumsum(gone) > 0).tolist()
+    kept, at, here, deleted, words = [], 0, 0, 0, 0
+    for line in lines:
+        n, start = len(line.split()), here
+        here += len(line) + 1
         if n:
             at += 1
             if inside[at - 1]:
                 deleted += 1
                 words += n
                 continue
-        kept += (line, end)
+        kept.append(data[start:here])
     return b"".join(kept), deleted, words
 
 
@@ -216,20 +232,16 @@ def delete_runs(docs: DataFrame, least: int = MIN_WORDS,
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(source):
-            texts, lines, words = [], [], []
-            for text, cut in zip(batch.column("text"), batch.column(runs)):
-                text, cut = text.as_py(), cut.as_py()
-                n = w = 0
-                if cut:
-                    left, n, w = without(text.encode("utf-8"), [(c["first"], c["last"]) for c in cut])
-                    text = left.decode("utf-8")
-                texts.append(text)
-                lines.append(n)
-                words.append(w)
-            arrays = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns]
+            lines = np.zeros(batch.num_rows, dtype=np.int64)
+            words, cut, texts = lines.copy(), batch.column(runs).is_valid(), []
+            for k in np.flatnonzero(cut.to_numpy(zero_copy_only=False)).tolist():
+                data = batch.column("text")[k].as_py().encode("utf-8")
+                left, lines[k], words[k] = without(data, batch.column(runs)[k].values.to_numpy())
+                texts.append(left.decode("utf-8"))
+            text = pc.replace_with_mask(batch.column("text"), cut, pa.array(texts, pa.string()))
+            arrays = [text if c == "text" else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays(
-                [*arrays, pa.array(lines, pa.int64()), pa.array(words, pa.int64())],
-                names=[*columns, *names])
+                [*arrays, pa.array(lines), pa.array(words)], names=[*columns, *names])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema],
                         *[f"`{n}` bigint" for n in names]])

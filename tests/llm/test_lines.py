@@ -1,6 +1,7 @@
 """Winnowed line deletion against all runs of all documents."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -17,7 +18,8 @@ def plain(docs, least):
     """{(doc_id, text): text left}: every run of every document against all earlier ones."""
     seen, out = {}, {}
     for doc_id, text in sorted(set(docs), key=lambda d: (d[0] is not None, d[0], signature_of(d[1]))):
-        parts, behind = lines.split_lines((text or "").encode())
+        parts = [x for x in re.split(rb"(?<=[.!?])( )|(\n)", (text or "").encode()) if x is not None]
+        parts, behind = parts[::2], [*parts[1::2], b""]
         units = [(k, p.strip(), len(p.split())) for k, p in enumerate(parts) if p.split()]
         gone = set()
         for a in range(len(units)):
