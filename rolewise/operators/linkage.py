@@ -72,7 +72,7 @@ def stars(block_rows: DataFrame) -> DataFrame:
     return block_rows.join(hubs, ["rule", "key"])
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): alternating large-star and small-star rounds.
 
     Each half round is one minimum per node and one join, checkpointed; rounds
@@ -81,7 +81,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     links = cut_lineage(edges.where("u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(lowest, "u").select(
@@ -99,8 +99,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     members = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.unionByName(
         links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

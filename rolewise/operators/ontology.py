@@ -30,31 +30,26 @@ def default_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def closure(implies: DataFrame, max_depth: int = 16) -> DataFrame:
+def closure(implies: DataFrame) -> DataFrame:
     """(skill, implied) pairs reached through any chain of implications.
 
-    A recursive query over the edge table, which is written out first because
-    every level reads it again. A path never visits a skill twice, so cycles
-    end by themselves.
+    Rounds over distinct pairs to the fixed point: pairs found in one round are
+    continued by one edge in the next, and only new pairs go on. Cycles end by
+    themselves, and no chain is too long.
     """
-    edges = cut_lineage(implies.select("skill", "implied").distinct())
-    return implies.sparkSession.sql(
-        """
-        WITH RECURSIVE walk(skill, implied, path, depth) AS (
-            SELECT skill, implied, array(skill, implied), 1 FROM {edges}
-            UNION ALL
-            SELECT w.skill, e.implied, array_append(w.path, e.implied), w.depth + 1
-            FROM walk w JOIN {edges} e ON e.skill = w.implied
-            WHERE w.depth < {depth} AND NOT array_contains(w.path, e.implied)
-        )
-        SELECT DISTINCT skill, implied FROM walk WHERE skill <> implied
-        """,
-        edges=edges,
-        depth=max_depth,
-    )
-
-
-def build_relatedness(implies: DataFrame, related: DataFrame, max_depth: int = 16) -> DataFrame:
+    edges = cut_lineage(implies.select("skill", "implied").where("skill <> implied").distinct(), "edges")
+    onward = edges.select(F.col("skill").alias("implied"), F.col("implied").alias("next"))
+    known = fresh = edges
+    while True:
+        further = fresh.join(onward, "implied").select("skill", F.col("next").alias("implied"))
+        fresh = cut_lineage(further.where("skill <> implied").distinct().join(
+            known, ["skill", "implied"], "left_anti"), "pairs")
+        if fresh.isEmpty():
+            return known
+        known = known.unionByName(fresh)
+
+
+def build_relatedness(implies: DataFrame, related: DataFrame) -> DataFrame:
     """(required, held, degree, method) for every related pair of distinct skills.
 
     Held implies required, then held is a prerequisite of required, then
@@ -67,7 +62,7 @@ def build_relatedness(implies: DataFrame, related: DataFrame, max_depth: int = 1
             degree.alias("degree"), F.lit(order).alias("order"),
         )
 
-    implied = closure(implies, max_depth).select(F.inline(F.array(
+    implied = closure(implies).select(F.inline(F.array(
         pair("implied", "skill", F.lit(V.IMPLICATION_DEGREE), 1),
         pair("skill", "implied", F.lit(V.PREREQUISITE_DEGREE), 2),
     )))

@@ -41,12 +41,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def read_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan for work that is heavy per row.
 
-    A table in fewer files than there are cores is spread first; a large one
-    already arrives in enough splits and is left where it is.
+    A session over small tables in single files may ask for them to be spread
+    by `rolewise.spread.partitions`; large tables arrive in enough splits.
     """
     frame = read(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return frame.repartition(cores) if len(frame.inputFiles()) < cores else frame
+    spread = spark.conf.get("rolewise.spread.partitions", None)
+    return frame.repartition(int(spread)) if spread else frame
 
 
 def _pick(values, index):

@@ -373,29 +373,20 @@ def _calls_of(events):
            sum(prompt_tokens)::BIGINT AS tokens_in, sum(completion_tokens)::BIGINT AS tokens_out
     FROM invocations GROUP BY 1""", "invocations")
 def _(spark, sf):
-    rows = ST.drain(ST.daily_volume(_calls_of(_stream(spark, sf))), "update", "volume")
-    return ST.latest_update(rows, ["day"]).withColumn("day", day("day"))
+    rows = ST.drain(_calls_of(_stream(spark, sf)), "volume", ST.daily_volume)
+    return ST.merged_volume(rows).withColumn("day", day("day"))
 
 
 @query("stream_content_dedup", """
-    SELECT count(DISTINCT json_extract(props, '$.k')::BIGINT || '/' || event_type) AS contents FROM events""")
+    SELECT sha256(json_extract(props, '$.k')::BIGINT || '/' || event_type) AS content_hash,
+           strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS arrived_at FROM events GROUP BY 1""")
 def _(spark, sf):
     docs = _stream(spark, sf).select(
         F.col("ts").cast("timestamp").alias("arrived_at"),
         F.sha2(F.concat_ws("/", F.get_json_object("props", "$.k"), "event_type"), 256)
         .alias("content_hash"))
-    rows = ST.drain(ST.first_contents(docs), "append", "contents")
-    return rows.agg(F.count("*").alias("contents"))
-
-
-def _with_rocksdb(spark, run):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, ST.ROCKSDB)
-    try:
-        return run()
-    finally:
-        spark.conf.set(key, before)
+    rows = ST.drain(docs, "contents", ST.first_contents, new_by=["content_hash"])
+    return rows.select("content_hash", F.date_format("arrived_at", "yyyy-MM-dd HH:mm:ss").alias("arrived_at"))
 
 
 @query("stream_last_decisions", "SELECT actor, object_id, stage FROM last_decisions",
@@ -407,8 +398,8 @@ def _(spark, sf):
         F.col("user_id").alias("actor"),
         F.get_json_object("props", "$.k").cast("bigint").alias("object_id"),
         F.col("ts").cast("timestamp").alias("created_at"), "event_id", stages.alias("stage"))
-    rows = _with_rocksdb(spark, lambda: ST.drain(ST.last_decisions(decisions), "update", "decisions"))
-    return ST.latest_update(rows, ["actor", "object_id"])
+    rows = ST.drain(decisions, "decisions", ST.last_decisions)
+    return ST.last_decisions(rows).select("actor", "object_id", "stage")
 
 
 @query("stream_drift_alerts", """
@@ -425,8 +416,7 @@ def _(spark, sf):
     folder = work_path(spark, "readings")
     readings(spark, sf).write.parquet(folder)
     stream = spark.readStream.schema("dimension string, read_at date, ratio double").parquet(folder)
-    rows = _with_rocksdb(spark, lambda: ST.drain(ST.drift_alerts(stream), "append", "alerts"))
-    return rows.select("dimension", day("read_at").alias("read_at"), "ratio", "alert")
+    return ST.drift_alerts(ST.drain(stream, "alerts")).select("dimension", day("read_at").alias("read_at"), "ratio", "alert")
 
 
 @query("stream_scored_applications", f"""
@@ -444,5 +434,5 @@ def _(spark, sf):
             static.with_applications(batch), ref_year=B.REF_YEAR, profiles=profiles))
         return rows.select("application_id", rounded(F.col("overall"), 4).alias("overall"))
 
-    rows = ST.drain(spark.readStream.schema(schema).parquet(folder), "append", "scored", score)
+    rows = ST.drain(spark.readStream.schema(schema).parquet(folder), "scored", score)
     return rows.select("application_id", "overall")

@@ -375,10 +375,10 @@ def _(spark, sf):
 # --- Evidence ---------------------------------------------------------------------------------
 def quotes(spark, sf):
     """Four quotes per document: exact, broken, one word, and a foreign passage."""
-    d = docs(spark, sf).join(
-        B.read(spark, sf, "benchmark").select(
-            F.col("item_id").alias("pick"), F.col("text").alias("foreign")),
-        F.pmod(F.col("doc_id"), F.lit(40)) == F.col("pick"), "left")
+    passages = B.read(spark, sf, "benchmark").select(
+        F.col("item_id").alias("pick"), F.col("text").alias("foreign"))
+    many = passages.agg(F.count("*")).scalar()
+    d = docs(spark, sf).withColumn("pick", F.pmod(F.col("doc_id"), many)).join(passages, "pick", "left")
     parts = F.filter(F.split("text", r"[\n.;]+"), lambda p: F.length(F.trim(p)) >= 12)
     made = F.array(
         F.struct(F.lit(1).alias("kind"), F.lower(F.try_element_at(parts, F.lit(1))).alias("quote")),
@@ -402,7 +402,7 @@ def quote_pages(spark, sf):
     q0 AS (SELECT doc_id, 0 AS k, lower(ps[1]) AS quote, text FROM parts
            UNION ALL SELECT doc_id, 1, ps[-1] || ' xqz', text FROM parts
            UNION ALL SELECT doc_id, 2, w, text FROM parts
-           UNION ALL SELECT doc_id, 3, b.text, p.text FROM parts p JOIN benchmark b ON item_id = doc_id % 40),
+           UNION ALL SELECT doc_id, 3, b.text, p.text FROM parts p JOIN benchmark b ON item_id = doc_id % (SELECT count(*) FROM benchmark)),
     q AS (SELECT doc_id * 4 + k AS quote_id,
                  ltrim(regexp_replace({sql_fold('trim(quote)')}, '\\s+', ' ', 'g')) AS needle,
                  ltrim(regexp_replace({sql_fold('text')}, '\\s+', ' ', 'g')) AS hay

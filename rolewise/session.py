@@ -21,6 +21,7 @@ def local_session(cores: int | str = 8, app: str = "rolewise", **conf: str) -> S
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("rolewise.spread.partitions", str(cores))
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
     )

@@ -1,139 +1,84 @@
 """Structured Streaming forms of the time-driven jobs.
 
-Each job reads a stream, keeps bounded state, and writes through
-`foreachBatch` into a folder per batch, so a replayed batch overwrites itself.
-`drain` runs the stream over what is available and reads the table back.
+Files may arrive in any number and any order. Each batch writes what it adds
+into a folder of its own, so a replayed batch overwrites itself, and a result is
+merged from what all batches have written: sums of partial sums, the newest of
+the newest. No row is too late, and no state is kept beside the written rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from rolewise import fixed_values as V
+from rolewise.operators.bias import alert_level
 from rolewise.session import work_path
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-
-def event_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
-    """Files of one table in a folder as a stream."""
+def event_stream(spark: SparkSession, folder: str, name: str, schema, files: int = 1000) -> DataFrame:
+    """Files of one table in a folder as a stream, at most `files` of them in a batch."""
     return (
         spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", 1000).parquet(folder)
+        .option("maxFilesPerTrigger", files).parquet(folder)
     )
 
 
-def drain(stream: DataFrame, mode: str, name: str,
-          transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Run to the end of the available input; rows carry their `batch_id`."""
+def drain(stream: DataFrame, name: str, transform: Callable[[DataFrame], DataFrame] | None = None,
+          new_by: list[str] | None = None) -> DataFrame:
+    """Run to the end of the available input; rows carry their `batch_id`.
+
+    With `new_by`, a batch adds only rows whose key no earlier batch has written.
+    """
     spark = stream.sparkSession
     out = work_path(spark, name)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = transform(batch) if transform else batch
+        if new_by and batch_id > 0:
+            stored = spark.read.schema(rows.schema).option("basePath", f"{out}/rows").parquet(f"{out}/rows")
+            earlier = stored.where(F.col("batch_id") < batch_id).select(*new_by)
+            rows = rows.join(earlier, new_by, "left_anti")
         rows.write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
 
     running = (
-        stream.writeStream.outputMode(mode).foreachBatch(write)
+        stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     )
     running.awaitTermination()
     return spark.read.parquet(f"{out}/rows")
 
 
-def daily_volume(calls: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Calls, failures and tokens per day; late rows are accepted for a day.
-
-    Update mode: a day is sent again whenever it changes, and `latest_update`
-    keeps its last state.
-    """
-    return (
-        calls.withWatermark("created_at", lateness)
-        .groupBy(F.window("created_at", "1 day").alias("w"))
-        .agg(F.count("*").alias("calls"), F.count_if(F.col("status") != "ok").alias("failures"),
-             F.sum("prompt_tokens").alias("tokens_in"),
-             F.sum("completion_tokens").alias("tokens_out"))
-        .select(F.to_date("w.start").alias("day"), "calls", "failures", "tokens_in", "tokens_out")
-    )
-
-
-def latest_update(rows: DataFrame, keys: list[str]) -> DataFrame:
-    rest = [c for c in rows.columns if c not in (*keys, "batch_id")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("r")).select(
-        *keys, "r.*")
-
+def daily_volume(calls: DataFrame) -> DataFrame:
+    """What one batch adds to calls, failures and tokens per day."""
+    return calls.groupBy(F.to_date("created_at").alias("day")).agg(
+        F.count("*").alias("calls"), F.count_if(F.col("status") != "ok").alias("failures"),
+        F.sum("prompt_tokens").alias("tokens_in"), F.sum("completion_tokens").alias("tokens_out"))
 
-def first_contents(documents: DataFrame, lateness: str = "7 days") -> DataFrame:
-    """First arrival of each content hash within the watermark."""
-    return documents.withWatermark("arrived_at", lateness).dropDuplicatesWithinWatermark(
-        ["content_hash"])
 
+def merged_volume(rows: DataFrame) -> DataFrame:
+    """Volume per day from the parts of all batches."""
+    sums = ("calls", "failures", "tokens_in", "tokens_out")
+    return rows.groupBy("day").agg(*[F.sum(c).alias(c) for c in sums])
 
-class LastDecision(StatefulProcessor):
-    """Keeps the newest decision of one (rater, dossier)."""
 
-    def init(self, handle) -> None:
-        self.newest = handle.getValueState("newest", "created_at timestamp, event_id long, stage string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        best = self.newest.get() if self.newest.exists() else None
-        for frame in rows:
-            top = frame.sort_values(["created_at", "event_id"]).iloc[-1]
-            row = (top["created_at"].to_pydatetime(), int(top["event_id"]), str(top["stage"]))
-            if best is None or (row[0], row[1]) > (best[0], best[1]):
-                best = row
-        self.newest.update(best)
-        yield pd.DataFrame({"actor": [key[0]], "object_id": [key[1]], "stage": [best[2]]})
-
-    def close(self) -> None:
-        pass
+def first_contents(documents: DataFrame) -> DataFrame:
+    """First arrival of each content hash in a batch; `drain(new_by=...)` compares batches."""
+    return documents.groupBy("content_hash").agg(F.min("arrived_at").alias("arrived_at"))
 
 
 def last_decisions(decisions: DataFrame) -> DataFrame:
-    """Running last decision per (rater, dossier); needs the RocksDB state store."""
-    return decisions.select("actor", "object_id", "created_at", "event_id", "stage").groupBy(
-        "actor", "object_id"
-    ).transformWithStateInPandas(
-        statefulProcessor=LastDecision(),
-        outputStructType="actor long, object_id long, stage string",
-        outputMode="Update", timeMode="None",
-    )
-
-
-class DriftAlert(StatefulProcessor):
-    """Compares each reading of a dimension with the one before it."""
-
-    def init(self, handle) -> None:
-        self.previous = handle.getValueState("previous", "ratio double")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = self.previous.get()[0] if self.previous.exists() else None
-        readings = pd.concat(list(rows)).sort_values("read_at")
-        out = []
-        for at, ratio in zip(readings["read_at"], readings["ratio"]):
-            alert = ""
-            if ratio < V.IMPACT_RATIO_LEGAL:
-                alert = "legal_gap"
-            elif before is not None and before - ratio >= V.IMPACT_DRIFT:
-                alert = "drift"
-            out.append((key[0], at, float(ratio), before, alert))
-            before = float(ratio)
-        self.previous.update((before,))
-        yield pd.DataFrame(out, columns=["dimension", "read_at", "ratio", "previous", "alert"])
-
-    def close(self) -> None:
-        pass
+    """Newest decision of each (rater, dossier), in a batch or over the rows of all batches."""
+    newest = F.max_by(F.struct("stage", "created_at", "event_id"), F.struct("created_at", "event_id"))
+    return decisions.groupBy("actor", "object_id").agg(newest.alias("d")).select(
+        "actor", "object_id", "d.stage", "d.created_at", "d.event_id")
 
 
 def drift_alerts(readings: DataFrame) -> DataFrame:
-    """Alerts on a stream of (dimension, read_at, ratio)."""
-    return readings.groupBy("dimension").transformWithStateInPandas(
-        statefulProcessor=DriftAlert(),
-        outputStructType="dimension string, read_at date, ratio double, previous double, alert string",
-        outputMode="Append", timeMode="None",
-    )
+    """Alert of every reading against the one before it in time, whenever it arrived."""
+    before = F.lag("ratio").over(W.partitionBy("dimension").orderBy("read_at"))
+    return readings.select("dimension", "read_at", "ratio", before.alias("previous")).withColumn(
+        "alert", F.coalesce(alert_level(F.col("ratio"), F.col("previous"), V.IMPACT_DRIFT), F.lit("")))

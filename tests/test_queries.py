@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from check_queries import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"bias_mitigation", "greedy_path", "single_lever_gains", "stream_last_decisions"}
+SLOW = {"bias_mitigation", "greedy_path", "single_lever_gains"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 

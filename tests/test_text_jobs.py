@@ -189,3 +189,85 @@ def test_ingest_is_idempotent(spark):
     first = IN.new_documents(docs, docs.limit(0), "seq")
     assert {(r["content_hash"], r["seq"], r["copies"]) for r in first.collect()} == {("h1", 1, 2), ("h2", 3, 1)}
     assert IN.new_documents(docs, first, "seq").count() == 0
+
+
+def test_closure_has_no_longest_chain(spark):
+    from rolewise.operators import ontology
+
+    chain = spark.createDataFrame([(f"s{k:02d}", f"s{k + 1:02d}") for k in range(25)] + [("s25", "s24")],
+                                  "skill string, implied string")
+    got = {(r.skill, r.implied) for r in ontology.closure(chain).collect()}
+    assert got == {(f"s{a:02d}", f"s{b:02d}") for a in range(26) for b in range(a + 1, 26)} | {("s25", "s24")}
+
+
+def _arrivals(spark, tmp_path, files=4):
+    """The events in several files, newest first, read one file at a time."""
+    import os
+    import time
+
+    from rolewise.streaming import jobs
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    cuts = [r.t for r in events.selectExpr(f"ntile({files}) OVER (ORDER BY ts) AS t", "ts").groupBy("t").agg(
+        {"ts": "min"}).selectExpr("`min(ts)` AS t").orderBy("t").collect()] + [None]
+    for k in reversed(range(files)):
+        part = events.where(events.ts >= cuts[k])
+        part = part if cuts[k + 1] is None else part.where(events.ts < cuts[k + 1])
+        part.coalesce(1).write.parquet(f"{tmp_path}/part{k}")
+        (name,) = [f for f in os.listdir(f"{tmp_path}/part{k}") if f.endswith(".parquet")]
+        os.makedirs(f"{tmp_path}/in{k}", exist_ok=True)
+        os.makedirs(f"{tmp_path}/in/{k}", exist_ok=True)
+        os.rename(f"{tmp_path}/part{k}/{name}", f"{tmp_path}/in/{k}/events.parquet")
+        stamp = time.time() - 1000 * (k + 1)
+        os.utime(f"{tmp_path}/in/{k}/events.parquet", (stamp, stamp))
+    return events, jobs.event_stream(spark, f"{tmp_path}/in/*", "events", events.schema, files=1)
+
+
+def test_streams_equal_batch_for_many_files_in_any_order(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from rolewise.streaming import jobs
+
+    events, stream = _arrivals(spark, tmp_path)
+
+    def calls(frame):
+        return frame.select(
+            F.col("ts").cast("timestamp").alias("created_at"),
+            F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"),
+            F.lit(1).alias("prompt_tokens"), F.lit(2).alias("completion_tokens"))
+
+    rows = jobs.drain(calls(stream), "volume", jobs.daily_volume)
+    assert rows.select("batch_id").distinct().count() == 4
+    assert sorted(map(tuple, jobs.merged_volume(rows).collect())) == sorted(
+        map(tuple, jobs.daily_volume(calls(events)).collect()))
+
+    def contents(frame):
+        return frame.select(F.col("ts").cast("timestamp").alias("arrived_at"),
+                            F.concat_ws("/", "user_id", "event_type").alias("content_hash"))
+
+    kept = jobs.drain(contents(stream), "contents", jobs.first_contents, new_by=["content_hash"])
+    assert sorted(r.content_hash for r in kept.collect()) == sorted(
+        r.content_hash for r in contents(events).select("content_hash").distinct().collect())
+
+    def decisions(frame):
+        return frame.select(F.col("user_id").alias("actor"), (F.col("event_id") % 3).alias("object_id"),
+                            F.col("ts").cast("timestamp").alias("created_at"), "event_id",
+                            F.col("event_type").alias("stage"))
+
+    last = jobs.last_decisions(jobs.drain(decisions(stream), "decisions", jobs.last_decisions))
+    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, jobs.last_decisions(decisions(events)).collect()))
+
+
+def test_evaluation_set_of_another_kind_fails_without_reading_kind(spark, tmp_path):
+    import json
+
+    import pytest
+
+    from rolewise.sources import tables
+
+    (tmp_path / "set.json").write_text(json.dumps(
+        {"name": "n", "kind": "search", "version": "1", "cases": [{"id": "c"}]}))
+    cases = tables.evaluation_cases(spark, str(tmp_path / "set.json"), "ranking", "id STRING")
+    with pytest.raises(Exception, match="expected a ranking set, found search"):
+        cases.select("id").collect()
+    assert tables.evaluation_cases(spark, str(tmp_path / "set.json"), "search", "id STRING").count() == 1
