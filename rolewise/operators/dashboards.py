@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rolewise import fixed_values as V
 from rolewise.operators import ranking as R
 from rolewise.operators.retention import expired, expiring_soon
+from rolewise.session import cut_lineage
 
 
 def count_by(df: DataFrame, column: str) -> DataFrame:
@@ -47,9 +51,40 @@ def gauge(df: DataFrame, condition: Column) -> DataFrame:
     )
 
 
-def exact_percentile(value: Column, fraction: float) -> Column:
-    """Linear interpolation between ranks, 0 without data."""
-    return F.coalesce(F.percentile(value, fraction), F.lit(0.0))
+def exact_percentiles(df: DataFrame, keys: list[str], value: str,
+                      fractions: dict[str, float]) -> DataFrame:
+    """(keys, one column per fraction): linear interpolation between ranks, 0 without data.
+
+    Values are counted first. Counts are laid out in ranges of (keys, value), a
+    value's rank is what its range has before it plus what lies before the range,
+    and the two order statistics of a fraction are picked by rank, so no task
+    holds the values of a group.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    ranged = cut_lineage(counts.repartitionByRange(*keys, value).withColumn(
+        "part", F.spark_partition_id()), "counts")
+    sums = ranged.groupBy(*keys, "part").agg(F.sum("n").alias("of_part"))
+    before = W.partitionBy(*keys).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    every = W.partitionBy(*keys)
+    offsets = sums.select(
+        *keys, "part", F.coalesce(F.sum("of_part").over(before), F.lit(0)).alias("before"),
+        F.sum("of_part").over(every).alias("total"))
+    inside = W.partitionBy(*keys, "part").orderBy(value)
+    ranks = ranged.withColumn("upto", F.sum("n").over(inside)).join(offsets, [*keys, "part"]).select(
+        *keys, value, "total", (F.col("before") + F.col("upto") - F.col("n")).alias("first"),
+        (F.col("before") + F.col("upto") - 1).alias("last"))
+    picked = {}
+    for name, fraction in fractions.items():
+        place = (F.col("total") - 1) * F.lit(fraction)
+        for side, rank in (("low", F.floor(place)), ("high", F.ceil(place))):
+            here = (F.col("first") <= rank) & (rank <= F.col("last"))
+            picked[f"{name}_{side}"] = F.max(F.when(here, F.col(value)))
+        picked[f"{name}_part"] = F.max(place - F.floor(place))
+    found = ranks.groupBy(*keys).agg(*[c.alias(n) for n, c in picked.items()])
+    results = [
+        F.coalesce(F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * F.col(f"{n}_part"),
+                   F.lit(0.0)).alias(n) for n in fractions]
+    return found.select(*keys, *results)
 
 
 def hr_dashboard(applications: DataFrame, candidates: DataFrame, skills: DataFrame,
@@ -75,29 +110,34 @@ def hr_dashboard(applications: DataFrame, candidates: DataFrame, skills: DataFra
     }
 
 
-def invocation_dashboard(invocations: DataFrame, since: str) -> dict[str, DataFrame]:
-    """Latency, tokens, volume and totals of the calls since a day."""
+CALL_SERIES = ("latency", "tokens", "volume", "totals")
+
+
+def invocation_dashboard(invocations: DataFrame, since: str,
+                         names: Iterable[str] = CALL_SERIES) -> dict[str, DataFrame]:
+    """Latency, tokens, volume and totals of the calls since a day, as far as named."""
     recent = invocations.where(F.col("created_at") >= F.to_timestamp(F.lit(since)))
     ok = F.col("status") == "ok"
-    return {
-        "latency": recent.where(ok).groupBy("purpose").agg(
-            exact_percentile(F.col("latency_ms"), 0.5).alias("median_ms"),
-            exact_percentile(F.col("latency_ms"), 0.95).alias("p95_ms"),
-        ),
-        "tokens": recent.groupBy("purpose").agg(
-            F.sum("prompt_tokens").alias("tokens_in"),
-            F.sum("completion_tokens").alias("tokens_out"),
-        ),
-        "volume": recent.groupBy(F.to_date("created_at").alias("day")).agg(
-            F.count("*").alias("calls"), F.count_if(~ok).alias("failures")),
-        "totals": recent.agg(
+
+    def totals() -> DataFrame:
+        median = exact_percentiles(recent.where(ok), [], "latency_ms", {"median_ms": 0.5})
+        return recent.agg(
             F.count("*").alias("calls"),
-            F.coalesce(F.sum("prompt_tokens") + F.sum("completion_tokens"), F.lit(0))
-            .alias("tokens"),
-            exact_percentile(F.when(ok, F.col("latency_ms")), 0.5).alias("median_ms"),
+            F.coalesce(F.sum("prompt_tokens") + F.sum("completion_tokens"), F.lit(0)).alias("tokens"),
             F.count_if(~ok).alias("failures"),
-        ),
+        ).withColumn("median_ms", median.scalar())
+
+    made = {
+        "latency": lambda: exact_percentiles(
+            recent.where(ok), ["purpose"], "latency_ms", {"median_ms": 0.5, "p95_ms": 0.95}),
+        "tokens": lambda: recent.groupBy("purpose").agg(
+            F.sum("prompt_tokens").alias("tokens_in"),
+            F.sum("completion_tokens").alias("tokens_out")),
+        "volume": lambda: recent.groupBy(F.to_date("created_at").alias("day")).agg(
+            F.count("*").alias("calls"), F.count_if(~ok).alias("failures")),
+        "totals": totals,
     }
+    return {name: made[name]() for name in names}
 
 
 def series(df: DataFrame, label: str, values: list[str]) -> DataFrame:

@@ -269,7 +269,7 @@ _SCENARIO_VALUES = ", ".join(
 def _(spark, sf):
     crit = SC.criteria(B.tables(spark, sf), ref_year=B.REF_YEAR)
     stored = cut_lineage(SN.rescore(crit, SCENARIOS, GRID))
-    return SN.rerank_scenarios(stored).select(
+    return SN.rerank_scenarios(stored, next(iter(SCENARIOS))).select(
         "application_id", "scenario", "before", "after",
         *[F.col(c).cast("long").alias(c) for c in ("rank_before", "rank_after", "movement")])
 

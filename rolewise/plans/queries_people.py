@@ -381,8 +381,8 @@ SINCE = "2024-01-05"
 _RECENT_CALLS = f"recent AS (SELECT * FROM invocations WHERE created_at >= TIMESTAMP '{SINCE}')"
 
 
-def _calls(spark, sf):
-    return DB.invocation_dashboard(B.invocations(spark, sf), SINCE)
+def _calls(spark, sf, name):
+    return DB.invocation_dashboard(B.invocations(spark, sf), SINCE, [name])[name]
 
 
 @query("latency_percentiles", f"""
@@ -390,7 +390,7 @@ def _calls(spark, sf):
     {r('quantile_cont(latency_ms, 0.95)')} AS p95_ms FROM recent WHERE status = 'ok' GROUP BY 1""",
        "invocations")
 def _(spark, sf):
-    d = _calls(spark, sf)["latency"]
+    d = _calls(spark, sf, "latency")
     return d.select("purpose", rounded(F.col("median_ms")).alias("median_ms"),
                     rounded(F.col("p95_ms")).alias("p95_ms"))
 
@@ -399,14 +399,14 @@ def _(spark, sf):
     WITH {_RECENT_CALLS} SELECT purpose, sum(prompt_tokens)::BIGINT AS tokens_in,
     sum(completion_tokens)::BIGINT AS tokens_out FROM recent GROUP BY 1""", "invocations")
 def _(spark, sf):
-    return _calls(spark, sf)["tokens"]
+    return _calls(spark, sf, "tokens")
 
 
 @query("daily_volume", f"""
     WITH {_RECENT_CALLS} SELECT strftime(created_at::DATE, '%Y-%m-%d') AS day, count(*) AS calls,
     count(*) FILTER (WHERE status <> 'ok') AS failures FROM recent GROUP BY 1""", "invocations")
 def _(spark, sf):
-    return _calls(spark, sf)["volume"].withColumn("day", day("day"))
+    return _calls(spark, sf, "volume").withColumn("day", day("day"))
 
 
 @query("invocation_totals", f"""
@@ -415,14 +415,14 @@ def _(spark, sf):
       {r("quantile_cont(latency_ms, 0.5) FILTER (WHERE status = 'ok')")} AS median_ms,
       count(*) FILTER (WHERE status <> 'ok') AS failures FROM recent""", "invocations")
 def _(spark, sf):
-    return _calls(spark, sf)["totals"].withColumn("median_ms", rounded(F.col("median_ms")))
+    return _calls(spark, sf, "totals").withColumn("median_ms", rounded(F.col("median_ms")))
 
 
 @query("chart_series", f"""
     WITH {_RECENT_CALLS} SELECT purpose AS label, sum(prompt_tokens)::DOUBLE AS first,
     sum(completion_tokens)::DOUBLE AS second FROM recent GROUP BY 1""", "invocations")
 def _(spark, sf):
-    s = DB.series(_calls(spark, sf)["tokens"], "purpose", ["tokens_in", "tokens_out"])
+    s = DB.series(_calls(spark, sf, "tokens"), "purpose", ["tokens_in", "tokens_out"])
     return s.select("label", F.col("values")[0].alias("first"), F.col("values")[1].alias("second"))
 
 

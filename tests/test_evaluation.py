@@ -25,7 +25,7 @@ def cases(spark, relevances, scores=None):
 ])
 def test_percentile(spark, values, fraction, expected):
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = df.agg(DB.exact_percentile(F.col("v"), fraction).alias("p")).first()["p"]
+    got = DB.exact_percentiles(df, [], "v", {"p": fraction}).first()["p"]
     assert got == pytest.approx(expected)
 
 
@@ -121,3 +121,30 @@ def test_fold_tail_and_bands(spark):
     assert few == 3
     bands = DB.banded_counts(spark.range(0), F.col("id").cast("double"), (("low", 0.0, 1.0),))
     assert bands.first()["total"] == 0
+
+
+def test_percentiles_of_many_ranges(spark):
+    import random
+    import statistics
+
+    rng = random.Random(1)
+    rows = [(f"g{rng.randrange(3)}", float(rng.choice([1, 2, 3, rng.randrange(500)]))) for _ in range(2000)]
+    got = {r.g: (r.a, r.b) for r in DB.exact_percentiles(
+        spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"a": 0.5, "b": 0.95}).collect()}
+    for g in ("g0", "g1", "g2"):
+        values = sorted(v for k, v in rows if k == g)
+        p95 = 0.95 * (len(values) - 1)
+        low = values[int(p95)]
+        wanted = low + (values[min(int(p95) + 1, len(values) - 1)] - low) * (p95 % 1)
+        assert got[g] == (pytest.approx(statistics.median(values)), pytest.approx(wanted))
+
+
+def test_rater_blocks_change_nothing(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(a, o, rng.random() < 0.5) for a in range(30) for o in range(130) if rng.random() < 0.4]
+    last = spark.createDataFrame(rows, "actor bigint, object_id bigint, retained boolean")
+    whole = sorted(map(str, AG.rater_pairs(last).collect()))
+    assert len(whole) == 30 * 29 // 2
+    assert sorted(map(str, AG.rater_pairs(last, block=4).collect())) == whole
