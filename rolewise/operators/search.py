@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +11,9 @@ from rolewise import fixed_values as V
 from rolewise.functions.text import tokens
 from rolewise.operators.ranking import top_k
 
-QUERY_BLOCK = 4096
+#: Queries and vectors of a block.
+QUERY_BLOCK = 1024
+VECTOR_BLOCK = 8192
 # Equal documents must tie whatever order their terms were added in.
 SCORE_GRID = 1e9
 
@@ -67,56 +68,50 @@ def bm25(docs: DataFrame, queries: DataFrame, limit: int = 10, k1: float = V.BM2
 
 
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int,
-                 block: int = QUERY_BLOCK) -> DataFrame:
+                 query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
     """Nearest vectors per query by inner product of unit vectors.
 
-    Queries are the request, not the data: they travel to the tasks in blocks
-    of bounded size, one scan of the vectors per block. Each Arrow batch is one
-    matrix product and keeps only its own k best per query; the global top-k
-    follows. Rows without a vector are skipped.
+    Vectors and queries are dealt into blocks; every pair of blocks is one
+    bounded group with one matrix product, which keeps its own k best per query.
+    The global top-k follows. Nothing passes the driver but the two counts that
+    say how many blocks there are. Rows without a vector are skipped.
     """
-    count = queries.count()
-    blocks = max(1, -(-count // block))
-    parts = []
-    for index in range(blocks):
-        mine = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == index)
-        rows = mine.select("query_id", "embedding").where("embedding IS NOT NULL").toPandas()
-        if len(rows):
-            parts.append(_block_top_k(vectors, rows, k))
-    if not parts:
-        empty = "query_id bigint, doc_id bigint, score double, rank int"
-        return vectors.sparkSession.createDataFrame([], empty)
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    return top_k(merged, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
-
-
-def _block_top_k(vectors: DataFrame, rows: pd.DataFrame, k: int) -> DataFrame:
-    import numpy as np
-
-    ids = rows["query_id"].to_numpy()
-    matrix = np.array(rows["embedding"].tolist(), dtype="float64")
-    matrix /= np.where((n := np.linalg.norm(matrix, axis=1)) == 0, 1.0, n)[:, None]
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
-            data = np.array(batch["embedding"].tolist(), dtype="float64")
-            data /= np.where((m := np.linalg.norm(data, axis=1)) == 0, 1.0, m)[:, None]
-            similar = np.floor(data @ matrix.T * SCORE_GRID + 0.5) / SCORE_GRID
-            doc = batch["doc_id"].to_numpy()
-            order = np.lexsort((np.broadcast_to(doc[:, None], similar.shape), -similar), axis=0)
-            keep = order[: min(k, len(doc))]
-            column = np.broadcast_to(np.arange(len(ids)), keep.shape)
-            yield pd.DataFrame({
-                "query_id": ids[column.ravel()], "doc_id": doc[keep.ravel()],
-                "score": similar[keep.ravel(), column.ravel()],
-            })
-
     held = vectors.where("embedding IS NOT NULL").select("doc_id", "embedding")
-    return held.mapInPandas(best, "query_id bigint, doc_id bigint, score double")
+    asked = queries.where("embedding IS NOT NULL").select(
+        F.col("query_id").alias("query_id"), F.col("embedding").alias("asked"))
+    wide, deep = (max(1, -(-frame.count() // size)) for frame, size in (
+        (held, vector_block), (asked, query_block)))
+
+    def dealt(frame: DataFrame, key: str, mine: str, own: int, other: str, others: int) -> DataFrame:
+        return frame.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(own))).withColumn(
+            other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
+
+    left = dealt(held, "doc_id", "v", wide, "q", deep)
+    right = dealt(asked, "query_id", "q", deep, "v", wide)
+
+    def best(docs: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        if docs.empty or asks.empty:
+            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
+        similar = np.floor(_unit(docs["embedding"]) @ _unit(asks["asked"]).T * SCORE_GRID + 0.5) / SCORE_GRID
+        doc, ids = docs["doc_id"].to_numpy(), asks["query_id"].to_numpy()
+        order = np.lexsort((np.broadcast_to(doc[:, None], similar.shape), -similar), axis=0)
+        keep = order[: min(k, len(doc))]
+        column = np.broadcast_to(np.arange(len(ids)), keep.shape)
+        return pd.DataFrame({
+            "query_id": ids[column.ravel()], "doc_id": doc[keep.ravel()],
+            "score": similar[keep.ravel(), column.ravel()],
+        })
+
+    types = [f.schema[c].dataType.simpleString() for f, c in ((asked, "query_id"), (held, "doc_id"))]
+    pairs = left.groupBy("v", "q").cogroup(right.groupBy("v", "q")).applyInPandas(
+        best, f"query_id {types[0]}, doc_id {types[1]}, score double")
+    return top_k(pairs, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+
+
+def _unit(rows: pd.Series) -> np.ndarray:
+    matrix = np.stack(rows.to_numpy()).astype("float64")
+    norm = np.linalg.norm(matrix, axis=1)
+    return matrix / np.where(norm == 0, 1.0, norm)[:, None]
 
 
 def rrf(rankings: dict[str, DataFrame], limit: int = 10, k: int = V.RRF_K) -> DataFrame:

@@ -411,13 +411,23 @@ def _(spark, sf):
         "dimension", rounded(F.col("impact_ratio")).alias("impact_ratio"))
 
 
-@query("bias_property_checks", """
-    SELECT property, 0::BIGINT AS violations, (SELECT count(*) FROM criteria) AS checked,
-           true AS holds
-    FROM (VALUES ('name_has_no_effect'), ('seniority_not_penalised')) p(property)""", "criteria")
+_SENIOR = """CASE WHEN experience IS NOT NULL THEN CASE WHEN (years + {extra}) / least_years >= 1
+    THEN 1.0::DOUBLE ELSE pow((years + {extra}) / least_years, 0.7::DOUBLE) END END""".format(
+        extra=V.EXTRA_SENIORITY_YEARS)
+
+
+@query("bias_property_checks", f"""
+    WITH x AS (SELECT s.*, p.total_experience_years AS years, o.experience_min_years AS least_years
+               FROM scores s JOIN candidates p USING (candidate_id) JOIN offers o USING (offer_id)),
+    y AS (SELECT * REPLACE ({_SENIOR} AS experience), overall AS own FROM x),
+    z AS (SELECT 'seniority_not_penalised' AS property,
+                 {sql_weighted()} * admissibility < own - {V.DELTA_TOLERANCE} AS broken FROM y
+          UNION ALL
+          SELECT 'name_has_no_effect', {sql_weighted()} * admissibility <> overall FROM x)
+    SELECT property, count(*) FILTER (WHERE broken) AS violations, count(*) AS checked,
+           count(*) FILTER (WHERE broken) = 0 AS holds FROM z GROUP BY 1""", "scores candidates offers")
 def _(spark, sf):
-    crit = SC.criteria(B.tables(spark, sf), ref_year=B.REF_YEAR)
-    return BI.property_checks(crit, GRID)
+    return BI.property_checks(B.tables(spark, sf), B.REF_YEAR, GRID)
 
 
 _READINGS = """readings AS (

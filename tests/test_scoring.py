@@ -156,3 +156,28 @@ def test_scoring_plan_has_no_cartesian_product_and_no_python(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
+
+
+def test_a_name_dependent_criterion_is_caught(spark):
+    from rolewise.operators import bias
+
+    tables = H.tables(spark)
+
+    def fair(t, ref_year):
+        return SC.criteria(t, ref_year=ref_year)
+
+    def named(t, ref_year):
+        own = F.when(F.col("full_name").startswith("S"), 1.0).otherwise(0.5)
+        return SC.criteria(t, ref_year=ref_year).withColumn("experience", own)
+
+    def against_age(t, ref_year):
+        return SC.criteria(t, ref_year=ref_year).withColumn(
+            "experience", 1 / (1 + F.col("total_experience_years")))
+
+    def violations(engine):
+        rows = bias.property_checks(tables, H.REF_YEAR, lambda c: c, engine).collect()
+        return {r.property: r.violations for r in rows}
+
+    assert violations(fair) == {"name_has_no_effect": 0, "seniority_not_penalised": 0}
+    assert violations(named)["name_has_no_effect"] > 0
+    assert violations(against_age)["seniority_not_penalised"] > 0

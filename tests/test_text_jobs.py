@@ -38,7 +38,7 @@ def test_vector_search_in_blocks_equals_one_block(spark):
     queries = spark.createDataFrame(vectors[:9], "query_id long, embedding array<double>")
     key = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"]) for r in df.collect())
     whole = key(SE.vector_top_k(docs, queries, 5))
-    assert whole == key(SE.vector_top_k(docs, queries, 5, block=2))
+    assert whole == key(SE.vector_top_k(docs, queries, 5, query_block=2, vector_block=7))
     assert all((i, 1, i) in whole for i in range(9)) and len(whole) == 45
 
 
