@@ -11,6 +11,12 @@ from rolewise.operators import scoring as SC
 from rolewise.operators.ranking import top_k
 
 
+#: Applications in these stages are left where they are.
+LEFT_ALONE = ("withdrawn", "hired")
+#: Scores are rounded to four decimals before they meet the threshold.
+HALF_GRID = 0.5e-4
+
+
 def blocking_skills(tables: SC.Tables, threshold: float) -> DataFrame:
     """Skills through which a pair can reach the threshold, rarest first.
 
@@ -19,7 +25,7 @@ def blocking_skills(tables: SC.Tables, threshold: float) -> DataFrame:
     less than that floor cannot do it alone, so the most common ones may be
     left out of the join; the result is the same.
     """
-    floor = (threshold - V.ADMISSIBILITY_FLOOR) / (1 - V.ADMISSIBILITY_FLOOR) * (
+    floor = (threshold - HALF_GRID - V.ADMISSIBILITY_FLOOR) / (1 - V.ADMISSIBILITY_FLOOR) * (
         V.ADMISSIBILITY_FULL_AT)
     required = tables.job_skills.where("requirement = 'required'")
     common = tables.candidate_skills.groupBy("name").agg(F.count("*").alias("holders"))
@@ -45,9 +51,13 @@ def candidate_offers(tables: SC.Tables, candidates: DataFrame, threshold: float)
     )
     blocking = blocking_skills(tables, threshold).join(open_offers, "offer_id", "left_semi")
     reached = covered.join(blocking, "name").select("candidate_id", "offer_id").distinct()
-    # An offer without required skills admits anyone: each candidate is listed
-    # with the array of those offers, which is as long as they are many.
+    # An offer without required skills admits anyone, and under a low threshold
+    # any offer does: each candidate is listed with the array of those offers,
+    # which is as long as they are many.
     with_required = tables.job_skills.where("requirement = 'required'").select("offer_id")
+    if threshold - HALF_GRID <= V.ADMISSIBILITY_FLOOR:
+        with_required = with_required.limit(0)
+        reached = reached.limit(0)
     free = open_offers.join(with_required, "offer_id", "left_anti").agg(
         F.collect_list("offer_id").alias("ids"))
     anyone = candidates.select("candidate_id").distinct().withColumn(
@@ -59,13 +69,14 @@ def redirect(tables: SC.Tables, current: DataFrame, threshold: float, ref_year:
              top: int = V.MAX_SUGGESTIONS, grid=lambda c: c) -> DataFrame:
     """Best other open offers per application below the threshold.
 
-    `current` has (application_id, candidate_id, offer_id, score). An offer is
+    `current` has (application_id, candidate_id, offer_id, score); a null score
+    counts as 0, and withdrawn and hired applications are left alone. An offer is
     scored once per candidate, however many applications the candidate has;
     the best top + 1 offers of a candidate settle all of them.
     """
-    if threshold <= V.ADMISSIBILITY_FLOOR:
-        raise ValueError("the threshold must exceed the admissibility floor")
-    below = current.where(F.col("score") < threshold)
+    settled = tables.applications.where(F.col("stage").isin(*LEFT_ALONE)).select("application_id")
+    below = current.withColumn("score", F.coalesce("score", F.lit(0.0))).where(
+        F.col("score") < threshold).join(settled, "application_id", "left_anti")
     pairs = candidate_offers(tables, below, threshold).withColumn(
         "application_id", F.concat_ws("-", "candidate_id", "offer_id"))
     scored = SC.score_applications(tables.with_applications(pairs), ref_year=ref_year)

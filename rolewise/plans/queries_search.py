@@ -478,7 +478,8 @@ def _redirect_sql() -> str:
     cand AS (SELECT c.application_id, c.candidate_id, b.offer_id AS suggested, b.new_score,
                row_number() OVER (PARTITION BY c.application_id ORDER BY b.new_score DESC, b.offer_id) AS rank
              FROM cur c JOIN best b ON b.candidate_id = c.candidate_id AND b.offer_id <> c.offer_id
-             WHERE c.score < 0.75 AND b.new_score >= 0.75)
+             WHERE c.score < 0.75 AND b.new_score >= 0.75 AND c.application_id NOT IN (
+               SELECT application_id FROM applications WHERE stage IN ('withdrawn', 'hired')))
     SELECT application_id, suggested, rank, new_score,
            (candidate_id || '-' || suggested) IN (SELECT application_id FROM applications)
              AS already_applied

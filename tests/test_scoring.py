@@ -132,23 +132,24 @@ def test_greedy_path_equals_brute_force(spark):
     assert paths["a1"]["reached_score"] == pytest.approx(current)
 
 
-def test_redirection_equals_scoring_every_offer(spark):
+@pytest.mark.parametrize("threshold", [0.6, 0.1])
+def test_redirection_equals_scoring_every_offer(spark, threshold):
     tables = H.tables(spark)
     scored = SC.score_applications(tables, ref_year=H.REF_YEAR)
-    current = scored.select("application_id", "candidate_id", "offer_id", F.col("overall").alias("score"))
+    own = F.when(F.col("application_id") != "a2", F.col("overall") / 4)
+    current = scored.select("application_id", "candidate_id", "offer_id", own.alias("score"))
     got = {(r["application_id"], r["suggested"]): r for r in
-           RD.redirect(tables, current, 0.6, H.REF_YEAR).collect()}
+           RD.redirect(tables, current, threshold, H.REF_YEAR).collect()}
     everyone = spark.createDataFrame(
         [(f"{c}-{o}", c, o, "received") for c in (1, 2, 3) for o in (10, 20)], H.SCHEMAS["applications"])
     full = {(r["candidate_id"], r["offer_id"]): r["overall"] for r in SC.score_applications(
         tables.with_applications(everyone), ref_year=H.REF_YEAR).collect()}
     want = {
         (r["application_id"], o): full[r["candidate_id"], o]
-        for r in current.collect() if r["score"] < 0.6
-        for o in (10, 20) if o != r["offer_id"] and full[r["candidate_id"], o] >= 0.6}
+        for r in current.collect() if (r["score"] or 0) < threshold and r["application_id"] != "a5"
+        for o in (10, 20) if o != r["offer_id"] and full[r["candidate_id"], o] >= threshold}
     assert {k: r["new_score"] for k, r in got.items()} == pytest.approx(want)
-    with pytest.raises(ValueError):
-        RD.redirect(tables, current, 0.1, H.REF_YEAR)
+    assert any(a == "a2" for a, _ in got)
 
 
 def test_scoring_plan_has_no_cartesian_product_and_no_python(spark):
