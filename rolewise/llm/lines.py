@@ -3,7 +3,7 @@
 A line ends at a line feed or behind the sentence mark before a space, as
 passages are often set into other text without line feeds. A run of consecutive
 lines with at least `MIN_WORDS` words is repeated if an equal run starts earlier,
-by doc_id and position; every line of a repeated run is deleted, the first
+in a smaller doc_id or further up in the same text; every line of a repeated run is deleted, the first
 occurrence stays.
 
 A window is a shortest run with enough words, one from every line forwards and
@@ -17,8 +17,8 @@ minimum and count, never gathered.
 
 Cases: null texts stay null, and texts with fewer words than a run stay as they
 are; lines without a word are no part of a run and are kept; rows with the same
-doc_id and the same text are one document and are cut alike; a null doc_id comes
-before all others; a text may lose all its lines and is then empty (`deduplicated`
+doc_id are not compared with each other; a null doc_id comes after all others; a
+text may lose all its lines and is then empty (`deduplicated`
 leaves such documents out); an empty table gives an empty result; further columns
 are carried.
 """
@@ -149,12 +149,14 @@ def _flat(column: pa.ListArray) -> np.ndarray:
 
 
 def candidate_windows(tables: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """(window, doc_id, sig, run): windows whose fingerprint occurs elsewhere.
+    """(window, doc_id, sig, run, again): windows whose fingerprint occurs elsewhere.
 
-    `run` holds the first line in its upper and the last in its lower half.
+    `run` holds the first line in its upper and the last in its lower half;
+    `again` is true if the window stands in the same document before.
     """
     marks = tables.select("doc_id", "sig", F.explode("marks").alias("mark"))
-    counts = marks.groupBy("mark").count().where("count > 1")
+    # Written, so that a join with it can be split where a mark is frequent.
+    counts = cut_lineage(marks.groupBy("mark").count().where("count > 1").select("mark"), "marks")
     shared = marks.join(counts, "mark", "left_semi")
     asked = shared.groupBy("doc_id", "sig").agg(F.collect_set("mark").alias("shared"))
     asked = asked.select(F.col("doc_id").alias("of"), F.col("sig").alias("of_sig"), "shared")
@@ -169,19 +171,23 @@ def candidate_windows(tables: DataFrame, least: int = MIN_WORDS) -> DataFrame:
             # What is shared in one document of the slice is so in all of them.
             found = np.isin(lowest(h, first, last), _flat(batch.column("shared")))
             first, last, raw = first[found], last[found], h.astype("<i8").tobytes()
-            keys = [xxhash.xxh64_intdigest(raw[8 * a:8 * b + 8]) for a, b in zip(first.tolist(), last.tolist())]
+            keys = np.array([xxhash.xxh64_intdigest(raw[8 * a:8 * b + 8])
+                             for a, b in zip(first.tolist(), last.tolist())], dtype="u8").view("i8")
             begins = np.cumsum(sizes) - sizes
             owner = np.searchsorted(begins + sizes, first, side="right")
+            order = np.lexsort((first, keys, owner))
+            again = np.zeros(len(keys), dtype=bool)
+            again[order[1:]] = (np.diff(keys[order]) == 0) & (np.diff(owner[order]) == 0)
             picked = batch.select(["doc_id", "sig"]).take(pa.array(owner))
             run = (first - begins[owner] << 32) + last - begins[owner]
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.array(keys, dtype="u8").view("i8")), picked.column("doc_id"),
-                picked.column("sig"), pa.array(run, pa.int64()),
-            ], names=["window", "doc_id", "sig", "run"])
+                pa.array(keys), picked.column("doc_id"), picked.column("sig"),
+                pa.array(run, pa.int64()), pa.array(again),
+            ], names=["window", "doc_id", "sig", "run", "again"])
 
     kind = tables.schema["doc_id"].dataType.simpleString()
     return rows.select("doc_id", "sig", "hashes", "words", "shared").mapInArrow(
-        batches, f"window bigint, doc_id {kind}, sig int, run bigint")
+        batches, f"window bigint, doc_id {kind}, sig int, run bigint, again boolean")
 
 
 def repeated_runs(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
@@ -191,11 +197,15 @@ def repeated_runs(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """
     tables = cut_lineage(line_tables(docs, least), "lines")
     rows = cut_lineage(candidate_windows(tables, least), "windows")
-    place = F.struct("doc_id", "sig", "run")
-    firsts = rows.groupBy("window").agg(F.min(place).alias("origin"), F.max(place).alias("final")).where(
-        "origin <> final").drop("final")
-    later = rows.join(firsts, "window").where(place > F.col("origin"))
-    return later.groupBy("doc_id", "sig").agg(F.collect_list("run").alias("runs"))
+    firsts = cut_lineage(rows.groupBy("window").agg(
+        F.min("doc_id").alias("origin"), F.max("doc_id").alias("final"),
+        F.max(F.col("doc_id").isNull()).alias("nameless"),
+    ).where("origin < final OR (nameless AND origin IS NOT NULL)").select("window", "origin"), "firsts")
+    later = rows.where(~F.col("again")).join(firsts, "window").where(
+        F.col("doc_id").isNull() | (F.col("doc_id") > F.col("origin")))
+    gone = rows.where("again").select("doc_id", "sig", "run").unionByName(
+        later.select("doc_id", "sig", "run"))
+    return gone.groupBy("doc_id", "sig").agg(F.collect_list("run").alias("runs"))
 
 
 def without(data: bytes, runs: np.ndarray) -> tuple[bytes, int, int]:

@@ -2,7 +2,6 @@
 
 import random
 import re
-import zlib
 
 import numpy as np
 
@@ -10,18 +9,16 @@ from rolewise.llm import lines
 from tests.llm.helpers import MIDDLE, empty, odd, small
 
 
-def signature_of(text):
-    return zlib.crc32((text or "").encode()) - (1 << 31)
-
-
 def plain(docs, least):
     """{(doc_id, text): text left}: every run of every document against all earlier ones."""
-    seen, out = {}, {}
-    for doc_id, text in sorted(set(docs), key=lambda d: (d[0] is not None, d[0], signature_of(d[1]))):
+    seen, fresh, out, group = set(), set(), {}, object()
+    for doc_id, text in sorted(set(docs), key=lambda d: (d[0] is None, d[0] or 0)):
+        if doc_id != group:
+            seen, fresh, group = seen | fresh, set(), doc_id
         parts = [x for x in re.split(rb"(?<=[.!?])( )|(\n)", (text or "").encode()) if x is not None]
         parts, behind = parts[::2], [*parts[1::2], b""]
         units = [(k, p.strip(), len(p.split())) for k, p in enumerate(parts) if p.split()]
-        gone = set()
+        gone, mine = set(), set()
         for a in range(len(units)):
             words, run = 0, []
             for b in range(a, len(units)):
@@ -29,11 +26,12 @@ def plain(docs, least):
                 words += units[b][2]
                 if words < least:
                     continue
-                place = (len(out), a)
-                if seen.setdefault(tuple(run), place) != place:
+                if tuple(run) in seen or tuple(run) in mine:
                     gone |= {units[k][0] for k in range(a, b + 1)}
                 elif b - a > 60:
                     break
+                mine.add(tuple(run))
+        fresh |= mine
         out[(doc_id, text)] = text if text is None else b"".join(
             p + e for k, (p, e) in enumerate(zip(parts, behind)) if k not in gone).decode()
     return out
