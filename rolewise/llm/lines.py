@@ -269,3 +269,52 @@ def deduplicated(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 def op5_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delete_runs(documents(spark, sf_dir)).select(
         "doc_id", "n_deleted_lines", "n_deleted_words", "text")
+
+
+OP5_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, text, string_split(replace(replace(replace(
+           text, '. ', '.' || chr(10)), '! ', '!' || chr(10)), '? ', '?' || chr(10)), chr(10)) AS parts
+  FROM documents
+), p AS (
+  SELECT doc_id, text, unnest(parts) AS part, generate_subscripts(parts, 1) AS place FROM d
+), l AS (
+  SELECT *, len(regexp_extract_all(part, '[^\x20\x09-\x0D]+')) AS words,
+         regexp_replace(regexp_replace(part, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') AS bare,
+         sum(length(part) + 1) OVER (PARTITION BY doc_id ORDER BY place) AS until
+  FROM p
+), u AS (
+  SELECT doc_id, place, bare, words, row_number() OVER w AS line, sum(words) OVER w AS upto
+  FROM l WHERE words > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY place)
+), s AS (
+  SELECT a.doc_id, a.line AS first, min(b.line) AS last FROM u a JOIN u b
+    ON a.doc_id = b.doc_id AND b.line BETWEEN a.line AND a.line + {MIN_WORDS - 1}
+  WHERE b.upto - a.upto + a.words >= {MIN_WORDS} GROUP BY ALL
+  UNION
+  SELECT b.doc_id, max(a.line), b.line FROM u a JOIN u b
+    ON a.doc_id = b.doc_id AND a.line BETWEEN b.line - {MIN_WORDS - 1} AND b.line
+  WHERE b.upto - a.upto + a.words >= {MIN_WORDS} GROUP BY b.doc_id, b.line
+), t AS (SELECT doc_id, list(bare ORDER BY line) AS bares FROM u GROUP BY 1
+), c AS (
+  SELECT doc_id, first, last, array_to_string(bares[first:last], chr(10)) AS content
+  FROM s JOIN t USING (doc_id)
+), r AS (
+  SELECT doc_id, first, last, min(doc_id) OVER (PARTITION BY content) < doc_id
+           OR min(first) OVER (PARTITION BY content, doc_id) < first AS again FROM c
+), g AS (
+  SELECT DISTINCT u.doc_id, u.place FROM u JOIN r
+    ON r.again AND u.doc_id = r.doc_id AND u.line BETWEEN r.first AND r.last
+), k AS (
+  SELECT l.doc_id, l.place, words, g.place IS NOT NULL AS gone,
+         part || substr(text, until::BIGINT, 1) AS whole
+  FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.place = g.place
+), m AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_lines,
+         coalesce(sum(words) FILTER (WHERE gone), 0)::BIGINT AS n_words,
+         coalesce(string_agg(whole, '' ORDER BY place) FILTER (WHERE NOT gone), '') AS kept
+  FROM k GROUP BY 1
+)
+SELECT doc_id, coalesce(n_lines, 0) AS n_deleted_lines, coalesce(n_words, 0) AS n_deleted_words,
+       kept AS text
+FROM documents LEFT JOIN m USING (doc_id)
+"""

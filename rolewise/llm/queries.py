@@ -19,6 +19,7 @@ QUERIES: dict[str, Query] = {
 }
 ORACLES: dict[str, str] = {
     "op4_revisit_resolution": warc.OP4_SQL,
+    "op5_line_winnowing": lines.OP5_SQL,
     "op6_source_mixing": mixing.OP6_SQL,
     "op7_rule_ledger": quality.OP7_SQL,
 }
