@@ -35,11 +35,11 @@ SAMPLE_BYTES = 400
 DICTIONARY = 1 << 17
 DICTIONARIES = 1 << 25
 LEVEL = 6
-#: A text of fewer bytes is compressed once more, by the strongest level.
-SHORT = 64
-SHORT_LEVEL = 19
+#: A text of fewer bytes is repeated: alone it may be too short to be compressed at all.
+SHORT = 200
+REPEATS = 8
 BLOCK = 4096
-NARROW = 0.01
+NARROW = 0.004
 
 _OTHER = re.compile(rb"[^a-z\x80-\xff]+")
 
@@ -58,17 +58,15 @@ class Model:
 
     def __init__(self, dictionaries: list[tuple[str, bytes]]) -> None:
         self.languages = [name for name, _ in dictionaries]
-        self.levels = {
-            level: [self._compressor(data, level) for _, data in dictionaries]
-            for level in (LEVEL, SHORT_LEVEL)}
+        self.compressors = [self._compressor(data) for _, data in dictionaries]
 
     @staticmethod
-    def _compressor(data: bytes, level: int):
+    def _compressor(data: bytes):
         content = zstandard.ZstdCompressionDict(
             data.ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        content.precompute_compress(level=level)
+        content.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(
-            level=level, dict_data=content, write_content_size=False, write_checksum=False,
+            level=LEVEL, dict_data=content, write_content_size=False, write_checksum=False,
             write_dict_id=False)
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -76,10 +74,11 @@ class Model:
         plain = letters(text) if text else b""
         if not text or not self.languages or not has_letter(text, plain):
             return UNKNOWN, 0.0
-        compressors = self.levels[SHORT_LEVEL if len(plain) < SHORT else LEVEL]
+        if len(plain) < SHORT:
+            plain = (plain.strip() + b" ") * REPEATS
         sizes = [
             sum(len(c.compress(plain[k:k + BLOCK])) for k in range(0, len(plain), BLOCK))
-            for c in compressors]
+            for c in self.compressors]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         if len(sizes) == 1:
             return self.languages[best], 1.0
