@@ -101,10 +101,10 @@ def links(nodes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS,
         F.struct(F.lit(k).alias("table"), F.col("fp").bitwiseAND(F.lit(m)).alias("key"))
         for k, m in enumerate(block_masks(blocks, distance))])
     placed = nodes.select("fp", F.explode(keys).alias("k")).select("fp", "k.table", "k.key")
-    groups = placed.groupBy("table", "key").agg(
+    groups = cut_lineage(placed.groupBy("table", "key").agg(
         F.count("*").alias("n"),
         F.bit_or("fp").bitwiseXOR(F.bit_and("fp")).alias("varying"),
-    ).where("n > 1")
+    ).where("n > 1"), "groups")
     members = cut_lineage(placed.join(groups, ["table", "key"]), "members")
     few = members.where(F.col("n") <= paired).select("table", "key", "fp")
     other = few.withColumnRenamed("fp", "v")
@@ -115,7 +115,8 @@ def links(nodes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS,
         "concat(array(fp), transform(filter(sequence(0, 63), b -> (shiftright(varying, b) & 1) = 1),"
         " b -> fp ^ shiftleft(1L, b)))")
     points = crowded.select("fp", F.explode(around).alias("point"))
-    hubs = points.groupBy("point").agg(F.min("fp").alias("v"), F.max("fp").alias("last")).where("v < last")
+    hubs = cut_lineage(points.groupBy("point").agg(
+        F.min("fp").alias("v"), F.max("fp").alias("last")).where("v < last"), "hubs")
     through = points.join(hubs, "point").where("fp > v").select(F.col("fp").alias("u"), "v")
     return pairs.select("u", "v").unionByName(through).distinct()
 
