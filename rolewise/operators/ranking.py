@@ -14,8 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rolewise.functions.scores import effective_score
-
-ID_RANGE = 65536
+from rolewise.session import cut_lineage
 
 
 def latest(history: DataFrame, key: str | list[str], time: str = "created_at",
@@ -48,39 +47,27 @@ def running_totals(df: DataFrame, keys: list[str], score: str, tie: str,
                    values: dict[str, Column]) -> DataFrame:
     """Sums of `values` over the rows ahead of each row of its group.
 
-    Order: `score` (on a bounded grid) descending, then the integer `tie`
-    ascending. Every window runs over counts of a bounded domain, or over the
-    rows of one (group, score, id range) cell. `df` is read twice: pass a
-    stored table.
+    Order: `score` descending, then `tie` ascending, of any type. Rows are laid
+    out in ranges of (keys, score, tie), so a large group fills several ranges;
+    a row has ahead of it what its range holds before it and what the earlier
+    ranges of its group hold, of which there is one sum per range. The ranges
+    are written once, so that both sums see the same.
     """
-    cell = df.withColumn("_range", F.floor(F.col(tie) / ID_RANGE)).withColumns(
-        {f"_v_{n}": c for n, c in values.items()}
-    )
-    cells = cell.groupBy(*keys, score, "_range").agg(
-        *[F.sum(f"_v_{n}").alias(f"_v_{n}") for n in values]
-    )
-    levels = cells.groupBy(*keys, score).agg(
-        *[F.sum(f"_v_{n}").alias(f"_v_{n}") for n in values]
-    )
-
-    def ahead(frame: DataFrame, window, prefix: str) -> DataFrame:
-        before = window.rowsBetween(W.unboundedPreceding, -1)
-        return frame.withColumns({
-            f"{prefix}{n}": F.coalesce(F.sum(f"_v_{n}").over(before), F.lit(0)) for n in values
-        }).drop(*[f"_v_{n}" for n in values])
-
-    higher = ahead(levels, W.partitionBy(*keys).orderBy(F.desc(score)), "_h_")
-    earlier = ahead(cells, W.partitionBy(*keys, score).orderBy("_range"), "_e_")
-    offsets = earlier.join(higher, [*keys, score])
-    inside = W.partitionBy(*keys, score, "_range").orderBy(tie).rowsBetween(
-        W.unboundedPreceding, -1
-    )
-    rows = cell.join(offsets, [*keys, score, "_range"])
+    columns = {f"_v_{n}": c for n, c in values.items()}
+    order = [F.desc(score), F.asc(tie)]
+    ranged = cut_lineage(
+        df.withColumns(columns).repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()),
+        "ranges")
+    sums = ranged.groupBy(*keys, "_part").agg(*[F.sum(v).alias(v) for v in columns])
+    earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(
+        *keys, "_part", *[F.coalesce(F.sum(f"_v_{n}").over(earlier), F.lit(0)).alias(f"_e_{n}") for n in values])
+    inside = W.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    rows = ranged.join(offsets, [*keys, "_part"])
     for n in values:
         own = F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0))
-        rows = rows.withColumn(n, F.col(f"_h_{n}") + F.col(f"_e_{n}") + own)
-    helper = [f"{p}{n}" for n in values for p in ("_v_", "_h_", "_e_")]
-    return rows.drop("_range", *helper)
+        rows = rows.withColumn(n, F.col(f"_e_{n}") + own)
+    return rows.drop("_part", *[f"{p}{n}" for n in values for p in ("_v_", "_e_")])
 
 
 def row_numbers(df: DataFrame, keys: list[str], score: str, tie: str,

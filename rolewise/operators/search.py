@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rolewise import fixed_values as V
 from rolewise.functions.text import tokens
 from rolewise.operators.ranking import top_k
+from rolewise.session import cut_lineage
 
 #: Queries and vectors of a block.
 QUERY_BLOCK = 1024
@@ -33,31 +34,29 @@ def bm25(docs: DataFrame, queries: DataFrame, limit: int = 10, k1: float = V.BM2
 
     Whole texts are tokenised. Only postings of asked terms leave the scan:
     the term filter runs before the per-document count, so the shuffle grows
-    with the matches, not with the corpus. Corpus size, mean length and
-    document frequencies come from the same token arrays.
+    with the matches, not with the corpus. The corpus is read twice: once for its
+    size and mean length, once for the postings, which are written as both the
+    document frequencies and the scores need them.
     """
     tokenised = docs.select("doc_id", *({tie} - {"doc_id"}), tokens(F.col("text")).alias("terms"))
     sized = tokenised.withColumn("length", F.size("terms"))
-    corpus = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    n, mean = sized.agg(F.count("*"), F.avg("length")).first()
     asked = query_terms(queries)
     wanted = asked.select("term").distinct()
-    postings = (
+    postings = cut_lineage(
         sized.select("doc_id", *({tie} - {"doc_id"}), "length", F.explode("terms").alias("term"))
         .join(wanted, "term", "left_semi")
         .groupBy("doc_id", *({tie} - {"doc_id"}), "length", "term")
-        .agg(F.count("*").alias("tf"))
-    )
+        .agg(F.count("*").alias("tf")), "postings")
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
-    total = corpus.select("n").scalar()
-    mean = corpus.select("mean").scalar()
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = asked.join(frequency, "term").withColumn("n", total).select(
+    weighted = asked.join(frequency, "term").withColumn("n", F.lit(n)).select(
         "query_id", "term", (F.col("weight") * idf).alias("idf"))
     spread = k1 * (1 - b + b * F.greatest(F.col("length"), F.lit(1)) / F.col("mean"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + spread)
     scored = (
         postings.join(weighted, "term")
-        .withColumn("mean", mean)
+        .withColumn("mean", F.lit(mean or 0.0))
         .groupBy("query_id", "doc_id", *({tie} - {"doc_id"}))
         .agg(F.sum(part).alias("raw"), F.array_sort(F.collect_set("term")).alias("matched_terms"))
         .withColumn("score", F.floor(F.col("raw") * SCORE_GRID + 0.5) / SCORE_GRID)

@@ -48,8 +48,7 @@ def test_spearman_with_ties(spark):
     assert M.spearman(cases(spark, [2])).first()["spearman"] == 1.0
 
 
-def test_pair_accuracy_equals_brute_force_on_ties(spark, monkeypatch):
-    monkeypatch.setattr(R, "ID_RANGE", 7)
+def test_pair_accuracy_equals_brute_force_on_ties(spark):
     rng = random.Random(3)
     rows = [(rng.choice((0.1, 0.2, 0.3)), rng.randint(0, 3)) for _ in range(120)]
     df = cases(spark, [r for _, r in rows], [s for s, _ in rows])
@@ -62,6 +61,20 @@ def test_pair_accuracy_equals_brute_force_on_ties(spark, monkeypatch):
     assert numbers == {item: pos for pos, item in enumerate(order, start=1)}
 
 
+def test_row_numbers_of_text_ids_and_any_scores(spark):
+    import uuid
+
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), rng.choice([rng.random(), 0.5]), str(uuid.UUID(int=rng.getrandbits(128))))
+            for _ in range(400)]
+    got = R.row_numbers(spark.createDataFrame(rows, "g string, s double, id string"), ["g"], "s", "id")
+    wanted = {}
+    for g in "ab":
+        for pos, row in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2])), start=1):
+            wanted[row[2]] = pos
+    assert {r.id: r["rank"] for r in got.collect()} == wanted
+
+
 def test_set_metrics(spark):
     schema = "case_id int, item string, is_predicted boolean, is_expected boolean"
     df = spark.createDataFrame([(1, "a", True, True), (1, "b", True, False), (1, "c", False, True),
