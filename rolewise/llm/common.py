@@ -58,6 +58,22 @@ def word_lists(data: bytes, size: int = PIECE) -> Iterator[list[bytes]]:
         yield part.split()
 
 
+#: Rows and bytes of a batch of texts that goes to Python, at most.
+BATCH_ROWS = 1_000
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(rows: DataFrame) -> DataFrame:
+    """The rows, in a session whose batches to Python are small.
+
+    Texts are long, and both sides of the pipe hold a batch several times over.
+    """
+    conf = rows.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return rows
+
+
 def slices(source: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Batches of few rows, so that what a task builds from one stays small."""
     for batch in source:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from rolewise.llm.common import documents, slices, word_lists
+from rolewise.llm.common import documents, slices, small_batches, word_lists
 
 #: An item of N words may be changed by N // TOLERANCE edits.
 TOLERANCE = 5
@@ -279,7 +279,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     pa.array([f[3] for f in found], pa.int32()),
                 ], names=["doc_id", "item_id", "distance", "item_words", "end_word"])
 
-        parts.append(docs.select("doc_id", "text").mapInArrow(batches, schema))
+        parts.append(small_batches(docs.select("doc_id", "text")).mapInArrow(batches, schema))
     if not parts:
         return docs.sparkSession.createDataFrame([], schema)
     merged = parts[0]
@@ -300,7 +300,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 kept[[f[0] for f in items.search(batch.column("text").to_pylist())]] = False
                 yield batch.filter(pa.array(kept))
 
-        docs = docs.mapInArrow(batches, docs.schema)
+        docs = small_batches(docs).mapInArrow(batches, docs.schema)
     return docs
 
 

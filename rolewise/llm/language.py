@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rolewise.llm.common import bucket, documents, unused
+from rolewise.llm.common import bucket, documents, small_batches, unused
 
 UNKNOWN = "und"
 #: The training sample per language: so many documents, a piece of so many bytes of each.
@@ -146,8 +146,8 @@ def predictions(docs: DataFrame, dictionaries: list[tuple[str, bytes]], columns:
     kept = docs.select(*[F.col(f"`{c}`") for c in columns])
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema],
                         f"`{names[0]}` string", f"`{names[1]}` double"])
-    return docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias(text)).mapInArrow(
-        batches, schema)
+    texts = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias(text))
+    return small_batches(texts).mapInArrow(batches, schema)
 
 
 def learned_from(docs: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolewise.llm.common import documents, slices, unused
+from rolewise.llm.common import documents, slices, small_batches, unused
 from rolewise.session import cut_lineage
 
 MIN_WORDS = 25
@@ -131,7 +131,7 @@ def line_tables(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
             ], names=["doc_id", "sig", "hashes", "words", "marks"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.where("text IS NOT NULL").select("doc_id", signature(), "text").mapInArrow(
+    return small_batches(docs.where("text IS NOT NULL").select("doc_id", signature(), "text")).mapInArrow(
         batches, f"doc_id {kind}, sig int, hashes array<bigint>, words array<int>, marks array<bigint>")
 
 
@@ -186,7 +186,7 @@ def candidate_windows(tables: DataFrame, least: int = MIN_WORDS) -> DataFrame:
             ], names=["window", "doc_id", "sig", "run", "again"])
 
     kind = tables.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "sig", "hashes", "words", "shared").mapInArrow(
+    return small_batches(rows.select("doc_id", "sig", "hashes", "words", "shared")).mapInArrow(
         batches, f"window bigint, doc_id {kind}, sig int, run bigint, again boolean")
 
 
@@ -255,7 +255,7 @@ def delete_runs(docs: DataFrame, least: int = MIN_WORDS,
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema],
                         *[f"`{n}` bigint" for n in names]])
-    return joined.select(*[docs[c] for c in columns], runs).mapInArrow(batches, schema)
+    return small_batches(joined.select(*[docs[c] for c in columns], runs)).mapInArrow(batches, schema)
 
 
 def deduplicated(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:

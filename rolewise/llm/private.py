@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolewise.llm.common import documents, slices
+from rolewise.llm.common import documents, slices, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1
@@ -313,7 +313,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     counts = ", ".join(f"n_{k} bigint" for k in KINDS)
-    return docs.select("doc_id", "text").mapInArrow(
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(
         batches, f"doc_id {kind}, {counts}, base_sha256 string, spans string, n_added bigint")
 
 

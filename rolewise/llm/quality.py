@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolewise.llm.common import documents, slices, word_lists
+from rolewise.llm.common import documents, slices, small_batches, word_lists
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -103,7 +103,7 @@ def ledger(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = ", ".join([f"doc_id {kind}", *(f"{m} bigint" for m in MEASURES)])
-    return docs.select("doc_id", "text").mapInArrow(batches, schema).withColumn("failures", failures())
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(batches, schema).withColumn("failures", failures())
 
 
 def passes(policy: Policy) -> Column:

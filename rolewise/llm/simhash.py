@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolewise.llm.common import documents, slices, unused, word_lists
+from rolewise.llm.common import documents, slices, small_batches, unused, word_lists
 from rolewise.operators.linkage import connected_components
 from rolewise.session import cut_lineage
 
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
                 names=["doc_id", "sig", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("sig"), "text").mapInArrow(
+    return small_batches(docs.select("doc_id", F.xxhash64("text").alias("sig"), "text")).mapInArrow(
         batches, f"doc_id {kind}, sig bigint, fp bigint")
 
 

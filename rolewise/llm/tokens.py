@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolewise.llm.common import documents, slices
+from rolewise.llm.common import documents, slices, small_batches
 
 LIMIT = 512
 #: Rows of the frequent table and pre-tokens of a worker's cache, at most.
@@ -172,7 +172,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
             ], names=["doc_id", "n_bytes", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(
         batches, f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
 
 
