@@ -135,13 +135,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(classes, "fp")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """One document of each group, the one with the smallest doc_id, with all columns.
 
-    Documents without an id belong to no group and stay.
+    Documents without an id belong to no group and stay. `found` are groups like
+    those of `near_duplicates`, which is the default.
     """
     of, sig, text_sig = (unused(n, docs) for n in ("kept_id", "kept_sig", "text_sig"))
-    kept = near_duplicates(docs).where("doc_id = component_id").groupBy(
+    found = near_duplicates(docs) if found is None else found
+    kept = found.where("doc_id = component_id").groupBy(
         F.col("doc_id").alias(of)).agg(F.min("sig").alias(sig))
     marked = docs.withColumn(text_sig, F.xxhash64("text"))
     named = marked.where("doc_id IS NOT NULL").join(
