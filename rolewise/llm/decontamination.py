@@ -4,13 +4,18 @@ Texts and benchmark items are sequences of lower-cased words. A document is
 contaminated by an item of N words if some stretch of it is within an edit
 distance of N // 5 words of the item (similarity 0.8 or more).
 
-The search runs over windows as long as an item, one from every word. A random
+Paths of a random walk drift apart with the number of edits, so long items are
+searched by pieces of at least `PIECE` words: if every piece had more than a fifth of its words
+edited, so would the item. Some piece is thus within a fifth of its own length,
+whatever the length of the item and the kind of its edits.
+
+The search runs over windows as long as a piece, one from every word. A random
 walk (CGK) reads a window and stays on a word or moves on by a random bit of
 (repetition, step, word), which turns a small edit distance into a small Hamming
 distance of what is read. Some steps of the walk are sampled as the key of a
-repetition; a window that meets an item in any repetition is a candidate, and
-candidates are verified exactly. Before the walk, windows are left out that
-cannot be near any item: with at most d edits all but 3d of the item's word
+repetition; a window that meets a piece in any repetition is a candidate, and
+the whole item is verified exactly around it. Before the walk, windows are left out
+that cannot be near any piece: with at most d edits all but 3d of the piece's word
 pairs must stand in the window.
 
 The benchmark is the query set. It reaches the tasks in blocks of bounded size,
@@ -40,6 +45,8 @@ from rolewise.llm.common import documents, slices, small_batches, word_lists
 TOLERANCE = 5
 REPETITIONS = 24
 SAMPLED = 3
+#: Items of twice as many words are searched by pieces of at least so many.
+PIECE = 10
 #: Bytes of item texts sent to the tasks at once, about.
 BLOCK_BYTES = 4 << 20
 #: Words of documents looked at together.
@@ -85,6 +92,13 @@ def _spread(low: np.ndarray, high: np.ndarray, labels: np.ndarray) -> tuple[np.n
     return np.repeat(low, many) + offset, np.repeat(labels, many)
 
 
+def cuts(size: int) -> list[tuple[int, int]]:
+    """(start, end) of the pieces of an item."""
+    count = max(1, size // PIECE)
+    edges = [size * k // count for k in range(count + 1)]
+    return list(zip(edges, edges[1:]))
+
+
 @dataclass
 class Items:
     """One block of the benchmark, ready for searching."""
@@ -102,14 +116,20 @@ class Items:
             self.words.append(np.array(
                 [known.setdefault(w, len(known) + 1) for w in words_of(text)], dtype=np.int64))
         self.base = len(self.vocabulary) + 2
-        self.lengths = np.array(sorted({len(w) for w in self.words if len(w)}), dtype=np.int64)
+        placed = [(k, low, w[low:high]) for k, w in enumerate(self.words) if len(w)
+                  for low, high in cuts(len(w))]
+        #: The item of each piece and its place in it.
+        self.owners = np.array([k for k, *_ in placed], dtype=np.int64)
+        self.offsets = np.array([low for _, low, _ in placed], dtype=np.int64)
+        pieces = [w for *_, w in placed]
+        self.lengths = np.array(sorted({len(w) for w in pieces}), dtype=np.int64)
         self.edits = self.lengths // TOLERANCE
         if not len(self.lengths):
             return self
-        # Word pairs and the lengths of the items they stand in.
+        # Word pairs and the lengths of the pieces they stand in.
         owned = np.unique(np.concatenate([np.stack(
             [w[:-1] * self.base + w[1:], np.full(len(w) - 1, np.searchsorted(self.lengths, len(w)))],
-            axis=1) for w in self.words if len(w)]), axis=0)
+            axis=1) for w in pieces]), axis=0)
         self.pairs, at = np.unique(owned[:, 0], return_index=True)
         self.pair_classes, self.pair_starts = owned[:, 1], np.append(at, len(owned))
         rng = np.random.default_rng(SEED)
@@ -123,23 +143,22 @@ class Items:
                 chosen = rng.choice(2 * length, min(self.sampled, 2 * length), replace=False)
                 self.adds[r, c, chosen] = rng.integers(
                     0, 1 << 63, len(chosen), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        kept = [k for k, w in enumerate(self.words) if len(w)]
-        classes = np.searchsorted(self.lengths, [len(self.words[k]) for k in kept])
-        flat = np.concatenate([self.words[k] for k in kept])
-        starts = np.cumsum([0, *(len(self.words[k]) for k in kept)])[:-1]
+        classes = np.searchsorted(self.lengths, [len(w) for w in pieces])
+        flat = np.concatenate(pieces)
+        starts = np.cumsum([0, *(len(w) for w in pieces)])[:-1]
         self.tables = []
         for r in range(self.repetitions):
             keys = self.walk(r, flat, starts, classes)
             order = np.argsort(keys, kind="stable")
-            self.tables.append((keys[order], np.array(kept)[order]))
+            self.tables.append((keys[order], order))
         return self
 
     def walk(self, r: int, text: np.ndarray, starts: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Keys of the windows at `starts`, as long as items of their class."""
+        """Keys of the windows at `starts`, as long as pieces of their class."""
         length = self.lengths[classes]
         last = np.minimum(starts + length, len(text))
         at, keys = starts.copy(), np.zeros(len(starts), dtype=np.uint64)
-        # The class is part of the key: windows meet items of their own length.
+        # The class is part of the key: windows meet pieces of their own length.
         keys += classes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         outside = np.uint64(self.base - 1)
         for step in range(2 * int(length.max(initial=0))):
@@ -157,7 +176,7 @@ class Items:
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
     def windows(self, text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, class) of the windows with enough word pairs of items of their length.
+        """(start, class) of the windows with enough word pairs of pieces of their length.
 
         `ends` gives for each word where its document ends.
         """
@@ -189,15 +208,15 @@ class Items:
         return both % len(text), both // len(text)
 
     def candidates(self, text: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Distinct (item, start) rows that share a key in some repetition."""
+        """Distinct (piece, start) rows that share a key in some repetition."""
         starts, classes = self.windows(text, ends)
         found = [np.empty((0, 2), dtype=np.int64)]
         if len(starts):
-            for r, (keys, items) in enumerate(self.tables):
+            for r, (keys, pieces) in enumerate(self.tables):
                 mine = self.walk(r, text, starts, classes)
                 low, high = np.searchsorted(keys, mine), np.searchsorted(keys, mine, side="right")
                 rows, at = _spread(low, high, starts)
-                found.append(np.stack([items[rows], at], axis=1))
+                found.append(np.stack([pieces[rows], at], axis=1))
         return np.unique(np.concatenate(found), axis=0)
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
@@ -223,21 +242,27 @@ class Items:
         ends = np.repeat(limits, sizes)
         found = self.candidates(text, ends)
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        owner = np.searchsorted(limits, found[:, 1], side="right")
+        # Where the item of each piece would start, document by document.
+        rows = np.unique(np.stack([
+            self.owners[found[:, 0]], np.searchsorted(limits, found[:, 1], side="right"),
+            found[:, 1] - self.offsets[found[:, 0]]], axis=1), axis=0)
         row = 0
-        while row < len(found):
-            item, doc = int(found[row, 0]), int(owner[row])
+        while row < len(rows):
+            item, doc, start = rows[row].tolist()
             words = self.words[item]
             edits = len(words) // TOLERANCE
-            start, reach = int(found[row, 1]), int(found[row, 1])
+            reach = start
             # Starts of one item close together are verified as one stretch.
-            while (row < len(found) and found[row, 0] == item and owner[row] == doc
-                   and found[row, 1] <= reach + len(words)):
-                reach = int(found[row, 1])
+            while (row < len(rows) and rows[row, 0] == item and rows[row, 1] == doc
+                   and rows[row, 2] <= reach + len(words)):
+                reach = int(rows[row, 2])
                 row += 1
+            # Edits before a piece and in its window both move the start.
             origin = int(limits[doc] - sizes[doc])
-            low = max(origin, start - edits)
-            high = min(int(limits[doc]), reach + len(words) + edits)
+            low = max(origin, start - 2 * edits)
+            high = min(int(limits[doc]), reach + len(words) + 2 * edits)
+            if low >= high:
+                continue
             distance, end = distance_within(words, text[low:high])
             if distance <= edits:
                 at = (distance, low + end - origin)
