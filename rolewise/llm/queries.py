@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rolewise.llm import decontamination, language, lines, mixing, private, quality, scoring, simhash, tokens, warc
+from rolewise.llm import chat, decontamination, language, lines, mixing, private, quality, scoring, simhash, tokens, warc
 from rolewise.llm.common import Query
 
 QUERIES: dict[str, Query] = {
@@ -16,10 +16,12 @@ QUERIES: dict[str, Query] = {
     "op8_skip_chain_pii": private.op8_skip_chain_pii,
     "op9_compression_language": language.op9_compression_language,
     "op10_simhash_blocks": simhash.op10_simhash_blocks,
+    "op11_prefix_examples": chat.op11_prefix_examples,
 }
 ORACLES: dict[str, str] = {
     "op4_revisit_resolution": warc.OP4_SQL,
     "op5_line_winnowing": lines.OP5_SQL,
     "op6_source_mixing": mixing.OP6_SQL,
     "op7_rule_ledger": quality.OP7_SQL,
+    "op11_prefix_examples": chat.OP11_SQL,
 }
