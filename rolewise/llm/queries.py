@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rolewise.llm import chat, codes, decontamination, language, lines, mixing, private, quality, scoring, simhash, tokens, warc
+from rolewise.llm import chat, codes, decontamination, language, lexical, lines, mixing, private, quality, scoring, simhash, tokens, warc
 from rolewise.llm.common import Query
 
 QUERIES: dict[str, Query] = {
@@ -17,6 +17,7 @@ QUERIES: dict[str, Query] = {
     "op9_compression_language": language.op9_compression_language,
     "op10_simhash_blocks": simhash.op10_simhash_blocks,
     "op11_prefix_examples": chat.op11_prefix_examples,
+    "op12_dual_tree_search": lexical.op12_dual_tree_search,
     "op13_trie_codes": codes.op13_trie_codes,
 }
 ORACLES: dict[str, str] = {
@@ -25,5 +26,6 @@ ORACLES: dict[str, str] = {
     "op6_source_mixing": mixing.OP6_SQL,
     "op7_rule_ledger": quality.OP7_SQL,
     "op11_prefix_examples": chat.OP11_SQL,
+    "op12_dual_tree_search": lexical.OP12_SQL,
     "op13_trie_codes": codes.OP13_SQL,
 }
