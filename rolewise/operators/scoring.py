@@ -114,6 +114,7 @@ def candidate_profiles(tables: Tables, ref_year: int) -> DataFrame:
             "candidate_id", "full_name", "total_experience_years", "highest_education",
             F.col("location").alias("candidate_location"),
             place_tokens(F.col("location")).alias("candidate_place"),
+            *[c for c in ("graduation_year", "institution") if c in tables.candidates.columns],
         )
         .join(coverage, "candidate_id", "left")
         .join(languages, "candidate_id", "left")

@@ -7,6 +7,8 @@ Group sizes are reduced before anything is windowed: orders to one row per
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -320,6 +322,13 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(**{name: staged(spark, sf_dir, view) for name, view in make.items()})
 
 
+def audited(spark: SparkSession, sf_dir: str) -> Tables:
+    """The tables with graduation year and institution beside each candidate."""
+    found = tables(spark, sf_dir)
+    schooling = education(spark, sf_dir).select("candidate_id", "graduation_year", "institution")
+    return replace(found, candidates=found.candidates.join(schooling, "candidate_id", "left"))
+
+
 # --- Event tables -------------------------------------------------------------
 def _event_key():
     return F.get_json_object("props", "$.k").cast("bigint")

@@ -275,6 +275,8 @@ def _(spark, sf):
 
 
 # --- Bias ----------------------------------------------------------------------------
+#: First graduation year that the planted engine counts in full.
+RECENT = 1998
 LOCAL_VARIANTS = {
     "name": V.BIAS_VARIANTS["name"],
     "location": (("near", "NATION_3, EUROPE"), ("far", "NATION_8, ASIA"), ("none", "Elsewhere")),
@@ -289,6 +291,19 @@ _VARIANT_ROWS = ", ".join(
 )
 
 
+_VARIANT_YEARS = ", ".join(
+    f"('{d}', '{label}', {seq}, '{value if d == 'location' else ''}',"
+    f" {value if d == 'graduation_year' else 'NULL'}::INT)"
+    for seq, (d, label, value) in enumerate(
+        (d, label, value) for d, options in LOCAL_VARIANTS.items() for label, value in options
+    )
+)
+
+
+def _halved(year: str) -> str:
+    return f"CASE WHEN {year} < {RECENT} THEN full_education / 2 ELSE full_education END"
+
+
 def _observed_sql(blind: bool, weight: str = "w_{0}") -> str:
     names = [n for n in V.CRITERIA if n != "location"] if blind else V.CRITERIA
     own = sql_weighted(names, weight)
@@ -323,24 +338,65 @@ def _observed_sql(blind: bool, weight: str = "w_{0}") -> str:
             FROM observed GROUP BY 1, 2) GROUP BY 1)"""
 
 
-def _altered(spark, sf, blind, dimensions=None, weights=None):
-    crit = SC.criteria(B.tables(spark, sf), ref_year=B.REF_YEAR, blind=blind)
-    return cut_lineage(BI.altered_scores(crit, GRID, LOCAL_VARIANTS, dimensions, weights))
+def _rescored(spark, sf, blind=None, dimensions=None, engine=SC.criteria):
+    return BI.rescore(B.audited(spark, sf), B.REF_YEAR, LOCAL_VARIANTS, dimensions, blind, engine)
 
 
-@query("bias_audit", f"""
-    WITH {_observed_sql(False)}
+def _report(spark, sf, blind=None, engine=SC.criteria):
+    return BI.dimension_report(BI.observe(_rescored(spark, sf, blind, engine=engine), GRID))
+
+
+_EXAMPLE = """CASE WHEN max_abs_delta > 0 THEN e.variant END AS example_variant,
+    CASE WHEN max_abs_delta > 0 THEN e.own END AS example_own,
+    CASE WHEN max_abs_delta > 0 THEN e.score END AS example_score"""
+
+
+def _audit_sql(observed: str) -> str:
+    return f"""
+    WITH {observed}, examples AS (
+      SELECT dimension, arg_max({{'variant': variant, 'own': own, 'score': score}},
+                                (abs(delta), -seq, application_id)) AS e FROM observed GROUP BY 1)
     SELECT dimension, {r('mean_abs_delta')} AS mean_abs_delta,
            {r('max_abs_delta', 4)} AS max_abs_delta, rank_changes, comparisons,
            {r('impact_ratio')} AS impact_ratio, max_abs_delta > 0.001 AS influences_score,
-           impact_ratio >= 0.80 AS passes
-    FROM report JOIN ratios USING (dimension)""", "criteria")
-def _(spark, sf):
-    rep = BI.dimension_report(cut_lineage(BI.observations(_altered(spark, sf, None))))
+           impact_ratio >= 0.80 AS passes, {_EXAMPLE}
+    FROM report JOIN ratios USING (dimension) JOIN examples USING (dimension)"""
+
+
+def _audit_columns(rep):
     return rep.select(
         "dimension", rounded(F.col("mean_abs_delta")).alias("mean_abs_delta"),
         rounded(F.col("max_abs_delta"), 4).alias("max_abs_delta"), "rank_changes", "comparisons",
-        rounded(F.col("impact_ratio")).alias("impact_ratio"), "influences_score", "passes")
+        rounded(F.col("impact_ratio")).alias("impact_ratio"), "influences_score", "passes",
+        F.col("example.variant").alias("example_variant"), F.col("example.own").alias("example_own"),
+        F.col("example.score").alias("example_score"))
+
+
+@query("bias_audit", _audit_sql(_observed_sql(False)), "criteria")
+def _(spark, sf):
+    return _audit_columns(_report(spark, sf))
+
+
+
+def counts_recent_degrees(tables, **options):
+    """An engine that must not pass: degrees from before RECENT count half."""
+    rows = SC.criteria(tables, **options)
+    old = F.coalesce(F.col("graduation_year") < RECENT, F.lit(False))
+    return rows.withColumn("education", F.when(old, F.col("education") / 2).otherwise(F.col("education")))
+
+
+@query("bias_audit_of_age_rule", _audit_sql(
+    "aged AS (SELECT c.*, e.graduation_year, c.education AS full_education FROM criteria c"
+    " JOIN education e USING (candidate_id)), "
+    + _observed_sql(False)
+    .replace("FROM criteria)", f"FROM (SELECT * REPLACE ({_halved('graduation_year')} AS education) FROM aged))")
+    .replace("FROM criteria CROSS JOIN vr", "FROM aged CROSS JOIN vr")
+    .replace("AS location)", "AS location, "
+             f"{_halved('coalesce(CASE dimension WHEN $graduation_year$ THEN year END, graduation_year)')} AS education)")
+    .replace("$", "'").replace("vr(dimension, variant, seq, place)", "vr(dimension, variant, seq, place, year)")
+    .replace(_VARIANT_ROWS, _VARIANT_YEARS)), "criteria education")
+def _(spark, sf):
+    return _audit_columns(_report(spark, sf, engine=counts_recent_degrees))
 
 
 @query("bias_altered_ranks", f"""
@@ -348,7 +404,7 @@ def _(spark, sf):
     SELECT application_id, variant, score, own, rank, old_rank FROM observed
     WHERE dimension = 'location'""", "criteria")
 def _(spark, sf):
-    obs = BI.observations(_altered(spark, sf, None, ("location",)))
+    obs = BI.observe(_rescored(spark, sf, dimensions=("location",)), GRID).rows
     return obs.select("application_id", "variant", "score", "own",
                       F.col("rank").cast("long").alias("rank"),
                       F.col("old_rank").cast("long").alias("old_rank"))
@@ -360,7 +416,7 @@ def _(spark, sf):
            {r('impact_ratio')} AS impact_ratio
     FROM report JOIN ratios USING (dimension)""", "criteria")
 def _(spark, sf):
-    rep = BI.dimension_report(cut_lineage(BI.observations(_altered(spark, sf, True))))
+    rep = _report(spark, sf, True)
     return rep.select("dimension", rounded(F.col("max_abs_delta"), 4).alias("max_abs_delta"),
                       "rank_changes", rounded(F.col("impact_ratio")).alias("impact_ratio"))
 
@@ -380,35 +436,29 @@ def _(spark, sf):
     FROM ratios a JOIN ratios2 b USING (dimension) JOIN report ra USING (dimension)
     JOIN report2 rb USING (dimension)""", "criteria")
 def _(spark, sf):
-    reports = [
-        BI.dimension_report(cut_lineage(BI.observations(_altered(spark, sf, blind))))
-        for blind in (None, True)
-    ]
+    reports = [_report(spark, sf, blind) for blind in (None, True)]
     return BI.compare_blind(*reports).select(
         "dimension", rounded(F.col("gain")).alias("gain"), "rank_changes_standard",
         "rank_changes_blind", "neutralised")
 
 
-_FIXED = {"skills": 0.20, "experience": 0.45, "education": 0.10, "languages": 0.10,
-          "certifications": 0.05, "location": 0.10}
-
-
-def _fixed_sql() -> str:
-    text = _observed_sql(False)
-    for name, value in _FIXED.items():
-        text = text.replace(f"w_{name}", f"{value}::DOUBLE")
-    return text
+_SCENARIO_IMPACT = " UNION ALL ".join(
+    f"SELECT * FROM (WITH {_observed_sql(False, 's_{0}')} SELECT '{name}' AS scenario, dimension, impact_ratio"
+    f" FROM ratios WHERE dimension = 'location')".replace(
+        "FROM criteria", "FROM (SELECT * FROM criteria CROSS JOIN (VALUES ("
+        + ", ".join(f"{w}::DOUBLE" for w in ws) + f")) t({', '.join(f's_{n}' for n in V.CRITERIA)}))")
+    for name, ws in _SCENARIO_SQL.items())
 
 
 @query("impact_ratio_for_weights", f"""
-    WITH {_fixed_sql()}
-    SELECT dimension, {r('impact_ratio')} AS impact_ratio FROM ratios WHERE dimension = 'location'
-    """, "criteria")
+    WITH after AS ({_SCENARIO_IMPACT}),
+    before AS (SELECT * FROM (WITH {_observed_sql(False)} SELECT impact_ratio FROM ratios WHERE dimension = 'location'))
+    SELECT scenario, dimension, {r('after.impact_ratio')} AS impact_ratio, {r('before.impact_ratio')} AS baseline_ratio
+    FROM after, before""", "criteria")
 def _(spark, sf):
-    weights = F.struct(*[F.lit(w).alias(n) for n, w in _FIXED.items()])
-    obs = BI.observations(_altered(spark, sf, None, ("location",), weights))
-    return BI.impact_ratios(obs).select(
-        "dimension", rounded(F.col("impact_ratio")).alias("impact_ratio"))
+    out = BI.scenario_impact(_rescored(spark, sf, dimensions=("location",)), GRID, SCENARIOS)
+    return out.select("scenario", "dimension", rounded(F.col("impact_ratio")).alias("impact_ratio"),
+                      rounded(F.col("baseline_ratio")).alias("baseline_ratio"))
 
 
 _SENIOR = """CASE WHEN experience IS NOT NULL THEN CASE WHEN (years + {extra}) / least_years >= 1
