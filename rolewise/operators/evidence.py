@@ -1,4 +1,12 @@
-"""Anchoring of quotes in the document they were taken from."""
+"""Anchoring of quotes in the document they were taken from.
+
+A page meets the quotes of its document as arrays of at most about `CHUNK`
+quotes, so its text is folded, read and sent once per array and not per quote.
+The exact tiers are column expressions. A long quote that they leave open can
+only match in part if one of its blocks stands on the page: a common substring of
+`least` characters holds a whole block of ceil(least / 2) characters of the quote
+cut into such blocks. Only pages that hold one go on to the suffix automaton.
+"""
 
 from __future__ import annotations
 
@@ -11,128 +19,225 @@ from pyspark.sql import functions as F
 from rolewise import fixed_values as V
 from rolewise.functions.text import fold
 
+#: White space of any script, as a character class that Java and RE2 both read.
+SPACES = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: Quotes of a document that meet its pages in one row, about.
+CHUNK = 256
+
 
 def normalised(text: Column) -> Column:
     """Folded text with single spaces, no leading space."""
-    return F.ltrim(F.regexp_replace(fold(F.coalesce(text, F.lit(""))), r"\s+", " "))
+    return F.ltrim(F.regexp_replace(fold(F.coalesce(text, F.lit(""))), SPACES + "+", " "))
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{SPACES}+|{SPACES}+$", "")
 
 
 def _escaped(text: Column) -> Column:
     return F.regexp_replace(text, r"([\\.^$|?*+()\[\]{}\-])", r"\\$1")
 
 
-def exact_tiers(quotes: DataFrame, pages: DataFrame) -> DataFrame:
-    """Each (quote, page) with the ratio of the exact tiers, null when neither fits.
+def _blocks(needle: Column) -> Column:
+    """The quote cut into blocks; any common substring that counts holds one of them whole."""
+    width = F.ceil((F.ceil(F.length(needle) * V.EVIDENCE_MIN_RATIO)) / 2).cast("int")
+    return F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(needle) - width + 1), width),
+        lambda at: F.substr(needle, at, width))
+
+
+def needles(quotes: DataFrame) -> DataFrame:
+    """(document_id, chunk, quotes): usable quotes, normalised, dealt into arrays."""
+    bare = stripped(F.col("quote"))
+    usable = quotes.where(F.length(bare) >= V.EVIDENCE_MIN_LENGTH).select(
+        "quote_id", "document_id", normalised(bare).alias("needle")).where("needle <> ''")
+    sizes = usable.groupBy("document_id").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    long = F.length("needle") >= V.EVIDENCE_SHORT_LENGTH
+    return usable.join(sizes, "document_id").groupBy(
+        "document_id", F.pmod(F.xxhash64("quote_id"), F.col("chunks")).alias("chunk")
+    ).agg(F.collect_list(F.struct(
+        "quote_id", "needle", (~long).alias("short"),
+        F.when(long, _blocks(F.col("needle"))).alias("blocks"))).alias("quotes"))
+
 
-    A short quote must stand as whole words and is worth .75; a longer one must
-    occur as it is and is worth 1. `quotes` has (quote_id, document_id, quote),
-    `pages` (document_id, page, text): one equality join.
+def page_matches(quotes: DataFrame, pages: DataFrame) -> DataFrame:
+    """(document_id, page, text, haystack, matches): per page the quotes that it may hold.
+
+    A match has `at`, the place of a quote that stands there as asked, else 0.
+    `quotes` has (quote_id, document_id, quote), `pages` (document_id, page, text).
     """
-    usable = quotes.where(F.length(F.trim("quote")) >= V.EVIDENCE_MIN_LENGTH).withColumn(
-        "needle", normalised(F.trim("quote")))
-    rows = usable.where("needle <> ''").join(pages, "document_id").withColumn(
+    rows = needles(quotes).join(pages.select("document_id", "page", "text"), "document_id").withColumn(
         "haystack", normalised(F.col("text")))
-    short = F.length("needle") < V.EVIDENCE_SHORT_LENGTH
-    whole = F.concat(F.lit(r"(?U)(?<!\w)"), _escaped(F.col("needle")), F.lit(r"(?!\w)"))
-    word_at = F.regexp_instr(F.col("haystack"), whole)
-    text_at = F.expr("locate(needle, haystack)")
-    at = F.when(short, word_at).otherwise(text_at)
-    return rows.withColumns({"short": short, "at": at}).withColumns({
-        "ratio": F.when(F.col("at") > 0, F.when(
-            F.col("short"), F.lit(V.EVIDENCE_SHORT_RATIO)).otherwise(F.lit(1.0))),
-        "start": F.when(F.col("at") > 0, F.col("at") - 1),
-        "size": F.when(F.col("at") > 0, F.length("needle")),
-    }).drop("at")
-
-
-def longest_common(haystack: str, needle: str, least: int) -> tuple[int, int]:
-    """(start, size) of the longest common substring of at least `least` characters.
-
-    A common substring of some size implies one of every smaller size, so the
-    size is found by bisection over sets of slices.
+    hay = F.col("haystack")
+
+    def match(q: Column) -> Column:
+        whole = F.concat(F.lit(r"(?U)(?<!\w)"), _escaped(q["needle"]), F.lit(r"(?!\w)"))
+        at = F.when(q["short"], F.regexp_instr(hay, whole)).otherwise(F.instr(hay, q["needle"]))
+        return F.struct(
+            q["quote_id"].alias("quote_id"), q["needle"].alias("needle"), q["short"].alias("short"), at.alias("at"),
+            F.exists(F.coalesce(q["blocks"], F.array().cast("array<string>")), lambda b: F.contains(hay, b)).alias("open"))
+
+    found = F.filter(F.transform("quotes", match), lambda m: (m["at"] > 0) | m["open"])
+    return rows.select("document_id", "page", "text", "haystack", found.alias("matches")).where(F.size("matches") > 0)
+
+
+def exact_tiers(quotes: DataFrame, pages: DataFrame) -> DataFrame:
+    """(quote_id, document_id, page, ratio) of quotes that stand on a page as they are.
+
+    A short quote must stand as whole words and is worth .75, a longer one 1.
     """
-    def first(size: int) -> int:
-        pieces = {needle[i:i + size] for i in range(len(needle) - size + 1)}
-        return next(
-            (i for i in range(len(haystack) - size + 1) if haystack[i:i + size] in pieces), -1)
-
-    low, high = max(1, least), min(len(haystack), len(needle))
-    at = first(low) if low <= high else -1
-    if at < 0:
-        return -1, 0
-    while low < high:
-        middle = (low + high + 1) // 2
-        found = first(middle)
-        if found < 0:
-            high = middle - 1
-        else:
-            low, at = middle, found
-    return at, low
-
-
-def _partial(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for haystacks, needles in batches:
-        spans = []
-        for haystack, needle in zip(haystacks, needles):
-            least = next(
-                s for s in range(len(needle) + 1) if s >= V.EVIDENCE_MIN_RATIO * len(needle))
-            spans.append(longest_common(haystack, needle, least))
-        yield pd.DataFrame(spans, columns=["start", "size"])
-
-
-def _offsets(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Normalised span -> span in the original text."""
+    rows = page_matches(quotes, pages).select("document_id", "page", F.explode("matches").alias("m")).where("m.at > 0")
+    ratio = F.when(F.col("m.short"), F.lit(V.EVIDENCE_SHORT_RATIO)).otherwise(F.lit(1.0))
+    return rows.select("m.quote_id", "document_id", "page", ratio.alias("ratio"))
+
+
+class Automaton:
+    """The substrings of several strings: states, edges and suffix links."""
+
+    def __init__(self, strings: list[str]) -> None:
+        self.edges: list[dict[str, int]] = [{}]
+        self.link, self.length = [-1], [0]
+        for string in strings:
+            at = 0
+            for char in string:
+                at = self._extend(at, char)
+        self.falling = sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True)
+
+    def _state(self, length: int, link: int, edges: dict[str, int]) -> int:
+        self.edges.append(edges)
+        self.link.append(link)
+        self.length.append(length)
+        return len(self.link) - 1
+
+    def _parted(self, at: int, char: str, onto: int) -> int:
+        """The state for the strings of `onto` that are no longer than those behind `at`."""
+        if self.length[onto] == self.length[at] + 1:
+            return onto
+        copy = self._state(self.length[at] + 1, self.link[onto], dict(self.edges[onto]))
+        self.link[onto] = copy
+        while at >= 0 and self.edges[at].get(char) == onto:
+            self.edges[at][char] = copy
+            at = self.link[at]
+        return copy
+
+    def _extend(self, at: int, char: str) -> int:
+        if char in self.edges[at]:
+            return self._parted(at, char, self.edges[at][char])
+        made = self._state(self.length[at] + 1, 0, {})
+        while at >= 0 and char not in self.edges[at]:
+            self.edges[at][char] = made
+            at = self.link[at]
+        if at >= 0:
+            self.link[made] = self._parted(at, char, self.edges[at][char])
+        return made
+
+    def reached(self, page: str) -> tuple[list[int], list[int]]:
+        """Per state the longest of its strings that stands on the page, and its first end.
+
+        One step per character; then states hand what ended in them to the
+        states of their suffixes, which stand there in full.
+        """
+        size, end = [0] * len(self.link), [0] * len(self.link)
+        first = [len(page) + 1] * len(self.link)
+        at = length = 0
+        for place, char in enumerate(page, 1):
+            while at and char not in self.edges[at]:
+                at = self.link[at]
+                length = self.length[at]
+            if char not in self.edges[at]:
+                continue
+            at, length = self.edges[at][char], length + 1
+            if length > size[at]:
+                size[at], end[at] = length, place
+            if place < first[at]:
+                first[at] = place
+        for state in self.falling:
+            up = self.link[state]
+            if up > 0 and first[state] <= len(page):
+                if first[state] < first[up]:
+                    first[up] = first[state]
+                if size[up] < self.length[up] or end[up] > first[state]:
+                    size[up], end[up] = self.length[up], min(
+                        first[state], end[up] if size[up] == self.length[up] else first[state])
+        return size, end
+
+    def longest(self, string: str, reached: tuple[list[int], list[int]]) -> tuple[int, int]:
+        """(start on the page, size) of the longest common substring, the first of that size."""
+        size, end = reached
+        best, at = (0, 0), 0
+        for char in string:
+            at = state = self.edges[at][char]
+            while state > 0 and not size[state]:
+                state = self.link[state]
+            if state > 0:
+                best = max(best, (size[state], -end[state]))
+        return (-best[1] - best[0], best[0]) if best[0] else (-1, 0)
+
+
+def longest_common(page: str, strings: list[str]) -> list[tuple[int, int]]:
+    """(start on the page, size) for each string, in time linear in page and strings."""
+    automaton = Automaton(strings)
+    reached = automaton.reached(page)
+    return [automaton.longest(s, reached) for s in strings]
+
+
+def _origins(text: str) -> list[int]:
+    """Place in the text of each normalised character."""
     import unicodedata
 
-    for texts, starts, sizes in batches:
-        spans = []
-        for text, start, size in zip(texts, starts, sizes):
-            origin, spaced = [], True
-            for index, char in enumerate(text):
-                if char.isspace():
-                    if not spaced:
-                        origin.append(index)
-                    spaced = True
-                elif not unicodedata.combining(char):
-                    origin.append(index)
-                    spaced = False
-            end = min(start + size, len(origin))
-            spans.append((origin[start], origin[end - 1] + 1))
-        yield pd.DataFrame(spans, columns=["char_start", "char_end"])
+    origin, spaced = [], True
+    for index, char in enumerate(text):
+        if char.isspace():
+            if not spaced:
+                origin.append(index)
+            spaced = True
+        elif not unicodedata.combining(char):
+            origin.append(index)
+            spaced = False
+    return origin
+
+
+def _spans(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Per page the (size, char_start, char_end) of each of its matches, size 0 for none."""
+    for texts, haystacks, matches in batches:
+        out = []
+        for text, haystack, listed in zip(texts, haystacks, matches):
+            open_ = [m["needle"] for m in listed if not m["at"]]
+            partial = iter(longest_common(haystack, open_) if open_ else ())
+            origin, spans = _origins(text), []
+            for m in listed:
+                least = V.EVIDENCE_MIN_RATIO * len(m["needle"])
+                start, size = (m["at"] - 1, len(m["needle"])) if m["at"] else next(partial)
+                if size < least or size == 0:
+                    spans.append({"size": 0, "char_start": 0, "char_end": 0})
+                    continue
+                end = min(start + size, len(origin))
+                spans.append({"size": size, "char_start": origin[start], "char_end": origin[end - 1] + 1})
+            out.append(spans)
+        yield pd.Series(out)
 
 
 def anchor_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     """Best page, offsets, ratio and verified flag per quote.
 
-    The exact tiers run as column expressions; only long quotes they leave open
-    reach the Arrow function for the longest common substring, on whole pages.
-    Quotes found nowhere keep a row with ratio 0.
+    The first page with the best ratio wins, and one of .999 or more wins over
+    later ones. Quotes found nowhere keep a row with ratio 0.
     """
-    partial = F.pandas_udf(_partial, "start int, size int")
-    tiers = exact_tiers(quotes, pages)
-    settled = tiers.where("ratio IS NOT NULL")
-    done = settled.where("ratio >= 0.999").select("quote_id", "document_id").distinct()
-    residue = tiers.where("ratio IS NULL AND NOT short").join(
-        done, ["quote_id", "document_id"], "left_anti")
-    loose = residue.withColumn("span", partial("haystack", "needle")).where("span.size > 0").select(
-        *[c for c in tiers.columns if c not in ("ratio", "start", "size")],
-        (F.col("span.size") / F.length("needle")).alias("ratio"),
-        F.col("span.start").alias("start"), F.col("span.size").alias("size"))
-    best = settled.unionByName(loose).groupBy("quote_id", "document_id").agg(
-        F.max_by(F.struct("page", "text", "start", "size", "ratio"),
-                 F.struct("ratio", -F.col("page"))).alias("b"))
-    offsets = F.pandas_udf(_offsets, "char_start int, char_end int")
-    placed = best.select("quote_id", "document_id", "b.*").withColumn(
-        "span", offsets("text", "start", "size"))
-    found = placed.select(
-        "quote_id", "document_id", "page", F.round("ratio", 3).alias("ratio"),
-        F.col("span.char_start").alias("char_start"), F.col("span.char_end").alias("char_end"),
-        F.expr("substring(text, span.char_start + 1, span.char_end - span.char_start)")
-        .alias("text"))
-    return quotes.select("quote_id", "document_id").join(
-        found, ["quote_id", "document_id"], "left"
-    ).withColumn("ratio", F.coalesce("ratio", F.lit(0.0))).withColumn(
-        "verified", F.col("ratio") >= V.EVIDENCE_MIN_RATIO)
+    spans = F.pandas_udf(_spans, "array<struct<size: int, char_start: int, char_end: int>>")
+    rows = page_matches(quotes, pages).withColumn("spans", spans("text", "haystack", "matches"))
+    each = rows.select("document_id", "page", "text", F.inline(F.arrays_zip("matches", "spans"))).where("spans.size > 0")
+    ratio = F.when(F.col("matches.short"), F.lit(V.EVIDENCE_SHORT_RATIO)).otherwise(
+        F.col("spans.size") / F.length("matches.needle"))
+    placed = each.select(
+        "matches.quote_id", "document_id", "page", ratio.alias("ratio"), "spans.char_start", "spans.char_end",
+        F.expr("substring(text, spans.char_start + 1, spans.char_end - spans.char_start)").alias("text"))
+    best = placed.groupBy("quote_id", "document_id").agg(F.max_by(
+        F.struct("page", "ratio", "char_start", "char_end", "text"),
+        F.struct(F.least("ratio", F.lit(0.999)), -F.col("page"))).alias("b")).select("quote_id", "document_id", "b.*")
+    return quotes.select("quote_id", "document_id").join(best, ["quote_id", "document_id"], "left").select(
+        "quote_id", "document_id", "page", F.coalesce(F.round("ratio", 3), F.lit(0.0)).alias("ratio"),
+        "char_start", "char_end", "text",
+        (F.coalesce("ratio", F.lit(0.0)) >= V.EVIDENCE_MIN_RATIO).alias("verified"))
 
 
 def evidence_counts(spans: DataFrame) -> DataFrame:

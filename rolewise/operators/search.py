@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolewise import fixed_values as V
@@ -113,6 +113,50 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return matrix / np.where(norm == 0, 1.0, norm)[:, None]
 
 
+def _grams(text: Column, size: int) -> Column:
+    """Distinct substrings of `size` characters; none for a shorter text."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+    return F.array_distinct(F.filter(
+        F.transform(starts, lambda at: F.substr(text, at, F.lit(size))), lambda g: F.length(g) == size))
+
+
+def holding(passages: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query_id, doc_id) of texts that contain a whole passage.
+
+    `passages` has (query_id, needle), `texts` (doc_id, haystack), words parted by
+    single spaces. A word inside a passage is a whole word of every text that
+    contains it, so a passage meets texts through the rarest of its inner words
+    only; one without inner words through the rarest of its trigrams, or as a
+    whole if it is no longer than that. An empty passage is in no text.
+    """
+    asked = passages.where("needle <> ''")
+    words = F.split("needle", " ")
+    inner = F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
+    parts = asked.select("query_id", "needle", F.when(F.size(inner) > 0, inner).alias("inner"))
+    by_word = parts.where("inner IS NOT NULL").select("query_id", "needle", F.explode("inner").alias("key"))
+    seen = texts.select("doc_id", F.explode(F.array_distinct(F.split("haystack", " "))).alias("key"))
+    pairs = _through_rarest(by_word, seen)
+    bare = parts.where("inner IS NULL").select("query_id", "needle", F.least(F.length("needle"), F.lit(3)).alias("size"))
+    for (size,) in bare.select("size").distinct().collect():  # at most the sizes 1, 2 and 3
+        keys = bare.where(F.col("size") == size).select(
+            "query_id", "needle", F.explode(_grams(F.col("needle"), size)).alias("key"))
+        pairs = pairs.unionByName(_through_rarest(
+            keys, texts.select("doc_id", F.explode(_grams(F.col("haystack"), size)).alias("key"))))
+    return pairs.join(texts, "doc_id").where(F.contains("haystack", F.col("needle"))).select("query_id", "doc_id")
+
+
+def _through_rarest(keys: DataFrame, seen: DataFrame) -> DataFrame:
+    """(query_id, needle, doc_id) met through each passage's key with the fewest texts.
+
+    A key that no text has rules its passage out.
+    """
+    counts = seen.join(keys.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
+    picked = keys.join(counts, "key", "left").groupBy("query_id", "needle").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("p")).where("p.n > 0")
+    return picked.select("query_id", "needle", F.col("p.key").alias("key")).join(seen, "key").select(
+        "query_id", "needle", "doc_id")
+
+
 def rrf(rankings: dict[str, DataFrame], limit: int = 10, k: int = V.RRF_K) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (query_id, doc_id, rank)."""
     merged = None

@@ -154,27 +154,15 @@ _RELEVANT = f"""nd AS (SELECT doc_id, ltrim(regexp_replace({sql_fold('text')}, '
                   FROM documents),
     nb AS (SELECT item_id, trim(regexp_replace({sql_fold('trim(text)')}, '\\s+', ' ', 'g')) AS q
            FROM benchmark),
-    rel AS (SELECT item_id AS query_id, doc_id FROM nb JOIN nd ON contains(h, q))"""
+    rel AS (SELECT item_id AS query_id, doc_id FROM nb JOIN nd ON q <> '' AND contains(h, q))"""
 
 
 def relevant(spark, sf):
-    """Documents holding a whole passage, met through its longest inner word.
-
-    A word inside a passage is a whole word of any text that contains the
-    passage. A passage too short to have one is compared with every document.
-    """
-    words = F.split("needle", " ")
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    """Documents holding a whole passage."""
     passages = B.read(spark, sf, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.rtrim(EV.normalised(F.trim("text"))).alias("needle")
-    ).withColumn("word", F.coalesce(longest["w"], F.lit("")))
+        F.col("item_id").alias("query_id"), F.rtrim(EV.normalised(F.trim("text"))).alias("needle"))
     texts = docs(spark, sf).select("doc_id", EV.normalised(F.col("text")).alias("haystack"))
-    seen = texts.select("doc_id", F.explode(F.array_union(
-        F.array_distinct(F.split("haystack", " ")), F.array(F.lit("")))).alias("word"))
-    met = seen.join(passages, "word").select("doc_id", "query_id", "needle")
-    return met.join(texts, "doc_id").where(F.contains("haystack", F.col("needle"))).select(
-        "query_id", "doc_id")
+    return SE.holding(passages, texts)
 
 
 _PER_QUERY = """pq AS (
@@ -373,6 +361,11 @@ def _(spark, sf):
 
 
 # --- Evidence ---------------------------------------------------------------------------------
+def _last_words(text, n):
+    words = F.split(text, " ")
+    return F.array_join(F.slice(words, F.greatest(F.lit(1), F.size(words) - n + 1), n), " ")
+
+
 def quotes(spark, sf):
     """Four quotes per document: exact, broken, one word, and a foreign passage."""
     passages = B.read(spark, sf, "benchmark").select(
@@ -383,7 +376,7 @@ def quotes(spark, sf):
     made = F.array(
         F.struct(F.lit(1).alias("kind"), F.lower(F.try_element_at(parts, F.lit(1))).alias("quote")),
         F.struct(F.lit(2).alias("kind"), F.concat(
-            F.try_element_at(parts, F.lit(-1)), F.lit(" xqz")).alias("quote")),
+            _last_words(F.try_element_at(parts, F.lit(-1)), 40), F.lit(" xqz")).alias("quote")),
         F.struct(F.lit(3).alias("kind"), F.element_at(F.split("text", r"\s+"), 1).alias("quote")),
         F.struct(F.lit(4).alias("kind"), F.col("foreign").alias("quote")))
     return d.select(F.col("doc_id").alias("document_id"), F.explode(made).alias("q")).select(
@@ -395,36 +388,88 @@ def quote_pages(spark, sf):
     return docs(spark, sf).select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), "text")
 
 
+_WORD_CHAR = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
+_QUOTES = rf"""
+    parts AS (SELECT doc_id, text, [p FOR p IN regexp_split_to_array(text, '[\n.;]+')
+                     IF length(trim(p)) >= 12] AS ps, regexp_split_to_array(text, '\s+')[1] AS w
+              FROM documents),
+    q0 AS (SELECT doc_id, 0 AS k, lower(ps[1]) AS quote FROM parts
+           UNION ALL SELECT doc_id, 1, array_to_string(string_split(ps[-1], ' ')[-40:], ' ') || ' xqz' FROM parts
+           UNION ALL SELECT doc_id, 2, w FROM parts
+           UNION ALL SELECT doc_id, 3, b.text FROM parts p JOIN benchmark b ON item_id = doc_id % (SELECT count(*) FROM benchmark)),
+    asked AS (SELECT doc_id * 4 + k AS quote_id, doc_id AS document_id,
+                     regexp_replace(quote, '^{EV.SPACES}+|{EV.SPACES}+$', '', 'g') AS quote
+              FROM q0 WHERE quote IS NOT NULL),
+    hay AS (SELECT doc_id AS document_id, text,
+                   ltrim(regexp_replace({sql_fold('text')}, '{EV.SPACES}+', ' ', 'g')) AS hay FROM documents WHERE text IS NOT NULL),
+    q AS (SELECT quote_id, document_id, hay, ltrim(regexp_replace({sql_fold('quote')}, '{EV.SPACES}+', ' ', 'g')) AS needle
+          FROM asked JOIN hay USING (document_id) WHERE length(quote) >= 3),
+    tier AS (
+      SELECT *, length(needle) < 12 AS short, CASE WHEN length(needle) >= 12 THEN instr(hay, needle)
+        WHEN regexp_matches(hay, '(^|[^{_WORD_CHAR}])' || regexp_escape(needle) || '($|[^{_WORD_CHAR}])')
+        THEN length(regexp_extract(hay, '(?s)^(.*?(?:^|[^{_WORD_CHAR}]))' || regexp_escape(needle) || '(?:$|[^{_WORD_CHAR}])', 1)) + 1
+        ELSE 0 END AS pos
+      FROM q WHERE needle <> '')"""
+# What no tier holds: starts from which enough characters stand on the page, then the longest from each.
+_ANCHORED = rf"""{_QUOTES},
+    starts AS (
+      SELECT *, ceil(0.6 * length(needle))::INT AS least,
+             list_filter(generate_series(1, length(needle) - ceil(0.6 * length(needle))::INT + 1),
+                         lambda i: contains(hay, substr(needle, i, ceil(0.6 * length(needle))::INT))) AS firsts
+      FROM tier WHERE pos = 0 AND NOT short),
+    halves AS (
+      SELECT quote_id, least AS lo, length(needle) AS hi FROM starts WHERE len(firsts) > 0
+      UNION ALL
+      SELECT quote_id, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid - 1 END FROM (
+        SELECT h.*, (lo + hi + 1) // 2 AS mid,
+               len(list_filter(firsts, lambda i: i + (lo + hi + 1) // 2 <= length(needle) + 1
+                               AND contains(hay, substr(needle, i, (lo + hi + 1) // 2)))) > 0 AS ok
+        FROM halves h JOIN starts USING (quote_id) WHERE lo < hi)),
+    part AS (
+      SELECT quote_id, struct_pack(size := lo, pos := list_min(list_filter(
+               list_transform(firsts, lambda i: CASE WHEN i + lo <= length(needle) + 1
+                              THEN instr(hay, substr(needle, i, lo)) ELSE 0 END), lambda x: x > 0))) AS b
+      FROM halves JOIN starts USING (quote_id) WHERE lo = hi),
+    placed AS (
+      SELECT quote_id, pos, length(needle) AS size, CASE WHEN short THEN 0.75::DOUBLE ELSE 1.0::DOUBLE END AS ratio
+      FROM tier WHERE pos > 0
+      UNION ALL SELECT quote_id, b.pos, b.size, b.size / length(needle)::DOUBLE FROM part JOIN tier USING (quote_id)),
+    letters AS (SELECT document_id, unnest(cs) AS c, generate_subscripts(cs, 1) AS i
+                FROM (SELECT document_id, string_split(text, '') AS cs FROM hay)),
+    marked AS (SELECT document_id, i, c, regexp_full_match(c, '{EV.SPACES}') AS blank FROM letters),
+    kept AS (
+      SELECT document_id, any_value(text) AS text, list(i ORDER BY i) AS origin FROM (
+        SELECT *, lag(blank, 1, true) OVER (PARTITION BY document_id ORDER BY i) AS after_blank FROM marked)
+      JOIN hay USING (document_id)
+      WHERE NOT (blank AND after_blank) AND NOT regexp_full_match(c, '[\x{{300}}-\x{{36F}}]') GROUP BY 1),
+    anchored AS (
+      SELECT quote_id, a.document_id, CASE WHEN p.pos IS NULL THEN NULL ELSE 1 END::INT AS page,
+             coalesce({r('p.ratio', 3)}, 0)::DOUBLE AS ratio,
+             (origin[p.pos] - 1)::INT AS char_start, origin[least(p.pos + p.size - 1, len(origin))]::INT AS char_end,
+             substr(text, origin[p.pos], origin[least(p.pos + p.size - 1, len(origin))] - origin[p.pos] + 1) AS text,
+             coalesce(p.ratio, 0) >= 0.6 AS verified
+      FROM asked a LEFT JOIN placed p USING (quote_id) LEFT JOIN kept k ON k.document_id = a.document_id)"""
+
+
 @query("quote_exact_tiers", f"""
-    WITH parts AS (SELECT doc_id, text, [p FOR p IN regexp_split_to_array(text, '[\\n.;]+')
-                     IF length(trim(p)) >= 12] AS ps, regexp_split_to_array(text, '\\s+')[1] AS w
-                   FROM documents),
-    q0 AS (SELECT doc_id, 0 AS k, lower(ps[1]) AS quote, text FROM parts
-           UNION ALL SELECT doc_id, 1, ps[-1] || ' xqz', text FROM parts
-           UNION ALL SELECT doc_id, 2, w, text FROM parts
-           UNION ALL SELECT doc_id, 3, b.text, p.text FROM parts p JOIN benchmark b ON item_id = doc_id % (SELECT count(*) FROM benchmark)),
-    q AS (SELECT doc_id * 4 + k AS quote_id,
-                 ltrim(regexp_replace({sql_fold('trim(quote)')}, '\\s+', ' ', 'g')) AS needle,
-                 ltrim(regexp_replace({sql_fold('text')}, '\\s+', ' ', 'g')) AS hay
-          FROM q0 WHERE length(trim(quote)) >= 3)
-    SELECT quote_id, ratio FROM (
-      SELECT quote_id, CASE WHEN length(needle) >= 12 THEN CASE WHEN contains(hay, needle) THEN 1.0::DOUBLE END
-        WHEN contains(' ' || regexp_replace(hay, '[^\\p{{L}}\\p{{N}}_]', ' ', 'g') || ' ',
-                      ' ' || needle || ' ') THEN 0.75::DOUBLE END AS ratio
-      FROM q WHERE regexp_full_match(needle, '[\\p{{L}}\\p{{N}}_]+') OR length(needle) >= 12)
-    WHERE ratio IS NOT NULL""")
+    WITH {_QUOTES}
+    SELECT quote_id, CASE WHEN short THEN 0.75::DOUBLE ELSE 1.0::DOUBLE END AS ratio FROM tier WHERE pos > 0""")
 def _(spark, sf):
-    t = EV.exact_tiers(quotes(spark, sf), quote_pages(spark, sf))
-    plain = F.col("needle").rlike(r"^[\p{L}\p{N}_]+$") | (F.length("needle") >= 12)
-    return t.where(F.col("ratio").isNotNull() & plain).select("quote_id", "ratio")
+    return EV.exact_tiers(quotes(spark, sf), quote_pages(spark, sf)).select("quote_id", "ratio")
 
 
-@query("quote_anchoring")
+@query("quote_anchoring", f"""
+    WITH RECURSIVE {_ANCHORED}
+    SELECT quote_id, document_id, coalesce(page, 0) AS page, ratio, coalesce(char_start, -1) AS char_start,
+           coalesce(char_end, -1) AS char_end, coalesce(text, '') AS text, verified FROM anchored""")
 def _(spark, sf):
-    return EV.anchor_quotes(quotes(spark, sf), quote_pages(spark, sf))
+    missing = {"page": 0, "char_start": -1, "char_end": -1, "text": ""}
+    return EV.anchor_quotes(quotes(spark, sf), quote_pages(spark, sf)).na.fill(missing)
 
 
-@query("evidence_counts")
+@query("evidence_counts", f"""
+    WITH RECURSIVE {_ANCHORED} SELECT document_id, count(*) FILTER (WHERE verified) AS verified, count(*) AS total
+    FROM anchored GROUP BY 1""")
 def _(spark, sf):
     return EV.evidence_counts(EV.anchor_quotes(quotes(spark, sf), quote_pages(spark, sf)))
 

@@ -1,5 +1,6 @@
 import difflib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,14 +114,96 @@ def test_components_of_a_long_chain(spark):
     assert len(got) == 41 and {r["component"] for r in got} == {0}
 
 
-def test_longest_common_substring_equals_difflib():
+def test_longest_common_substrings_equal_difflib():
     rng = random.Random(2)
-    for _ in range(60):
-        a = "".join(rng.choice("abc ") for _ in range(rng.randint(1, 60)))
-        b = "".join(rng.choice("abc ") for _ in range(rng.randint(1, 20)))
-        block = difflib.SequenceMatcher(None, a, b, autojunk=False).find_longest_match()
-        at, size = EV.longest_common(a, b, 1)
-        assert size == block.size and (size == 0 or at == block.a)
+    for letters in ("ab", "abc ", "abcdefgh "):
+        for _ in range(150):
+            page = "".join(rng.choice(letters) for _ in range(rng.randint(0, 80)))
+            strings = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 25))) for _ in range(rng.randint(1, 6))]
+            strings += [page[a:a + rng.randint(1, 30)] or "x" for a in (rng.randint(0, 60),)] + strings[:1]
+            for string, (at, size) in zip(strings, EV.longest_common(page, strings)):
+                block = difflib.SequenceMatcher(None, page, string, autojunk=False).find_longest_match()
+                assert size == block.size and (size == 0 or at == block.a)
+
+
+def test_work_is_linear_in_page_and_quotes():
+    class Counting(dict):
+        steps = 0
+
+        def __contains__(self, key):
+            Counting.steps += 1
+            return dict.__contains__(self, key)
+
+    def steps(n):
+        automaton = EV.Automaton(["ab" * 40, "ba" * 40 + "c"])
+        automaton.edges = [Counting(e) for e in automaton.edges]
+        Counting.steps = 0
+        automaton.reached("abx" * n + "ab" * n)
+        return Counting.steps
+
+    assert steps(4000) < 2.1 * steps(2000)
+
+
+def test_blocks_lose_no_match(spark):
+    rng = random.Random(4)
+    make = lambda n: "".join(rng.choice("abcd ") for _ in range(n)).strip()
+    texts = {d: [make(120) for _ in range(3)] for d in range(6)}
+    asked = []
+    for d in texts:
+        for k in range(40):
+            page = rng.choice(texts[d])
+            cut = rng.randint(0, 80)
+            asked.append((d * 100 + k, d, (page[cut:cut + rng.randint(3, 40)] + make(rng.randint(0, 12))).strip()))
+    pages = spark.createDataFrame([(d, n, t) for d, listed in texts.items() for n, t in enumerate(listed, 1)],
+                                  "document_id long, page int, text string")
+    frame = spark.createDataFrame(asked, "quote_id long, document_id long, quote string")
+    got = {r.quote_id: (r.page, r.ratio, r.text) for r in EV.anchor_quotes(frame, pages).collect()}
+    assert len(got) == len(asked)
+    for quote_id, d, quote in asked:
+        needle, best = " ".join(quote.split()), None
+        for n, text in enumerate(texts[d], 1):
+            hay = " ".join(text.split())
+            block = difflib.SequenceMatcher(None, hay, needle, autojunk=False).find_longest_match()
+            if len(needle) < 12:
+                whole = re.search(rf"(?<!\w){re.escape(needle)}(?!\w)", hay) if len(quote) >= 3 else None
+                ratio = 0.75 if whole else 0.0
+            else:
+                ratio = block.size / len(needle)
+            if ratio >= 0.6 and (best is None or ratio > best[1]):
+                best = (n, ratio)
+        assert got[quote_id][:2] == ((best[0], round(best[1] + 1e-9, 3)) if best else (None, 0.0)), quote
+
+
+def test_spaces_of_other_scripts_are_spaces(spark):
+    pages = spark.createDataFrame([(1, 1, "Un\u00a0\u2003ingénieur\u3000logiciel confirmé"), (1, 2, None)],
+                                  "document_id long, page int, text string")
+    asked = spark.createDataFrame([(1, 1, "\u00a0ingenieur logiciel confirme "), (2, 1, None), (3, 2, "nulle part ailleurs")],
+                                  "quote_id long, document_id long, quote string")
+    got = {r.quote_id: r for r in EV.anchor_quotes(asked, pages).collect()}
+    assert got[1].ratio == 1.0 and got[1].text == "ingénieur\u3000logiciel confirmé"
+    assert not got[2].verified and not got[3].verified and len(got) == 3
+
+
+def test_passages_meet_texts_without_a_key_for_all(spark):
+    from rolewise.operators import search as SE
+
+    rng = random.Random(6)
+    words = ["the", "ab", "abc", "xyz", "q", "lorem", "ipsum"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 12))) for _ in range(60)]
+    asked = ["", "q", "ab", "b x", "he a", "orem ip", "the ab", "zzz", "ab abc xyz", "e ab q lo"] + [
+        t[rng.randint(0, 5):][:rng.randint(1, 25)].strip() for t in texts[:20]]
+    passages = spark.createDataFrame(list(enumerate(asked)), "query_id long, needle string")
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, haystack string")
+    got = sorted(map(tuple, SE.holding(passages, frame).collect()))
+    assert got == [(i, d) for i, a in enumerate(asked) for d, t in enumerate(texts) if a and a in t]
+
+
+def test_many_quotes_of_one_document_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(EV, "CHUNK", 10)
+    asked = spark.range(95).select("id", F.lit(1).alias("document_id"), F.lit("exactly this sentence").alias("quote"))
+    arrays = EV.needles(asked.withColumnRenamed("id", "quote_id"))
+    sizes = [r.n for r in arrays.select(F.size("quotes").alias("n")).collect()]
+    assert sum(sizes) == 95 and len(sizes) > 5
 
 
 def test_anchoring_tiers(spark):
