@@ -445,7 +445,7 @@ _ANCHORED = rf"""{_QUOTES},
     anchored AS (
       SELECT quote_id, a.document_id, CASE WHEN p.pos IS NULL THEN NULL ELSE 1 END::INT AS page,
              coalesce({r('p.ratio', 3)}, 0)::DOUBLE AS ratio,
-             (origin[p.pos] - 1)::INT AS char_start, origin[least(p.pos + p.size - 1, len(origin))]::INT AS char_end,
+             (origin[p.pos] - 1)::INT AS char_start, CASE WHEN p.pos IS NOT NULL THEN origin[least(p.pos + p.size - 1, len(origin))] END::INT AS char_end,
              substr(text, origin[p.pos], origin[least(p.pos + p.size - 1, len(origin))] - origin[p.pos] + 1) AS text,
              coalesce(p.ratio, 0) >= 0.6 AS verified
       FROM asked a LEFT JOIN placed p USING (quote_id) LEFT JOIN kept k ON k.document_id = a.document_id)"""
