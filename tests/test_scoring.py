@@ -152,6 +152,55 @@ def test_redirection_equals_scoring_every_offer(spark, threshold):
     assert any(a == "a2" for a, _ in got)
 
 
+def offers_alike(spark, copies):
+    """Each offer `copies` times under new ids, and one offer that asks for no skill."""
+    data = H.rows()
+    for name in ("offers", "job_skills", "job_languages"):
+        data[name] += [(r[0] + 100 * k, *r[1:]) for k in range(1, copies) for r in H.ROWS[name]]
+    data["offers"].append((5, "Rabat", "onsite", 0, 3, [], "open", False, {}))
+    return H.tables(spark, data)
+
+
+@pytest.mark.parametrize("threshold", [0.55, 0.1])
+def test_equal_offers_are_scored_once(spark, threshold):
+    tables = offers_alike(spark, 4)
+    current = spark.createDataFrame(
+        [("a1", 1, 10, 0.0), ("a2", 2, 120, 0.0), ("a3", 3, 10, None)],
+        "application_id string, candidate_id long, offer_id long, score double")
+    got = {(r["application_id"], r["rank"]): (r["suggested"], r["new_score"])
+           for r in RD.redirect(tables, current, threshold, H.REF_YEAR, top=3).collect()}
+    offers = [r.offer_id for r in tables.offers.collect()]
+    everyone = spark.createDataFrame(
+        [(f"{c}-{o}", c, o, "received") for c in (1, 2, 3) for o in offers], H.SCHEMAS["applications"])
+    full = [(r.candidate_id, r.offer_id, r.overall) for r in SC.score_applications(
+        tables.with_applications(everyone), ref_year=H.REF_YEAR).collect()]
+    want = {}
+    for a, c, own, _ in current.collect():
+        best = sorted((-s, o) for k, o, s in full if k == c and o != own and s >= threshold)[:3]
+        want |= {(a, n): (o, pytest.approx(-s)) for n, (s, o) in enumerate(best, 1)}
+    assert got == want
+    groups, members = RD.grouped_offers(tables, 4)
+    assert groups.count() == 3 and members.count() == 9
+
+
+def test_only_admissible_pairs_are_scored(spark):
+    tables = offers_alike(spark, 3)
+    groups, _ = RD.grouped_offers(tables, 6)
+    candidates = tables.candidates.select("candidate_id")
+    scored = {tuple(r) for r in RD.pairs_to_score(tables, groups, candidates, 0.6, H.REF_YEAR).collect()}
+    everyone = spark.createDataFrame(
+        [(f"{c}-{o}", c, o, "received") for c in (1, 2, 3) for o in (5, 10, 20)], H.SCHEMAS["applications"])
+    full = SC.score_applications(tables.with_applications(everyone), ref_year=H.REF_YEAR).collect()
+    assert scored == {(r.candidate_id, r.offer_id) for r in full if r.admissibility >= 0.6}
+    assert len(scored) < len(full)
+
+
+def test_pairs_by_blocks_are_all_pairs(spark):
+    c, o = spark.range(23).withColumnRenamed("id", "candidate_id"), spark.range(9).withColumnRenamed("id", "offer_id")
+    got = [tuple(r) for r in RD.all_pairs(c, o, 4, 2).collect()]
+    assert sorted(got) == [(a, b) for a in range(23) for b in range(9)]
+
+
 def test_scoring_plan_has_no_cartesian_product_and_no_python(spark):
     df = SC.score_applications(H.tables(spark), ref_year=H.REF_YEAR)
     plan = df._jdf.queryExecution().executedPlan().toString()
