@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from rolewise import fixed_values as V
@@ -15,7 +17,7 @@ from rolewise.operators import scoring as SC
 from rolewise.plans import bindings as B
 from rolewise.plans.registry import day, query, rounded, sql_rounded as r
 from rolewise.plans.sql_views import sql_place, sql_weighted
-from rolewise.session import cut_lineage
+from rolewise.session import cut_lineage, work_path
 
 GRID = lambda c: rounded(c, 4)
 METRICS = ["ndcg_at_5", "precision_at_3", "pair_accuracy", "spearman"]
@@ -84,23 +86,34 @@ def _(spark, sf):
     return gated.select("metric", rounded(F.col("value")).alias("value"), "limit", "failed")
 
 
+# The earlier scoring: the same cases, scored by an engine that counts length more steeply.
+_EARLIER = "floor(10000::DOUBLE * n_chars / (n_chars + 400 * (1 + item_id % 3))) / 10000::DOUBLE"
+
+
+def _earlier_sql(text: str) -> str:
+    for name in ("ndcg", "prec", "pair", "spear", "per_case"):
+        text = re.sub(rf"\b{name}\b", f"{name}_then", text)
+    return text.replace("FROM predicted", "FROM predicted_then").replace("JOIN predicted b", "JOIN predicted_then b")
+
+
 @query("regression_against_baseline", f"""
-    WITH {_ALL}, cur AS (
-      SELECT 'ndcg_at_5' AS metric, avg(ndcg_at_5) AS value FROM per_case
-      UNION ALL SELECT 'spearman', avg(spearman) FROM per_case),
-    base AS (
-      SELECT 'ndcg_at_5' AS metric, avg(ndcg_at_5) AS baseline FROM per_case WHERE case_id <= 'src3'
-      UNION ALL SELECT 'spearman', avg(spearman) FROM per_case WHERE case_id <= 'src3')
+    WITH then0 AS (SELECT j.* REPLACE ({_EARLIER} AS score) FROM judgments j JOIN documents d ON d.doc_id = j.item_id),
+    predicted_then AS (
+      SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, item_id) AS rn,
+             row_number() OVER (PARTITION BY case_id ORDER BY relevance DESC, item_id) AS ideal FROM then0),
+    {_ALL}, {_earlier_sql(_ALL)}
     SELECT metric, {r('value')} AS value, {r('baseline')} AS baseline,
            {r('value - baseline + 1')} AS delta_plus_one, value - baseline < -0.01 AS regressed
-    FROM cur JOIN base USING (metric)""", "predicted")
+    FROM ({' UNION ALL '.join(
+        f"SELECT '{m}' AS metric, (SELECT avg({m}) FROM per_case) AS value,"
+        f" (SELECT avg({m}) FROM per_case_then) AS baseline" for m in METRICS)})""", "predicted judgments")
 def _(spark, sf):
     judged = cut_lineage(B.judgments(spark, sf))
-    per_case = cut_lineage(M.ndcg_at_k(judged).join(M.spearman(judged), "case_id"))
-    names = ["ndcg_at_5", "spearman"]
-    earlier = M.macro_average(per_case.where("case_id <= 'src3'"), names)
-    out = M.compare_to_baseline(M.macro_average(per_case, names), earlier)
-    return out.select(
+    lengths = B.read(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "n_chars")
+    steeper = F.floor(10000 * F.col("n_chars") / (F.col("n_chars") + 400 * (1 + F.col("item_id") % 3))) / 10000
+    then = cut_lineage(judged.join(lengths, "item_id").withColumn("score", steeper).drop("n_chars"))
+    now, earlier = (M.macro_average(M.ranking_metrics(rows), METRICS) for rows in (judged, then))
+    return M.compare_to_baseline(now, earlier).select(
         "metric", rounded(F.col("value")).alias("value"),
         rounded(F.col("baseline")).alias("baseline"),
         rounded(F.col("delta") + 1).alias("delta_plus_one"), "regressed")
@@ -510,3 +523,31 @@ def _(spark, sf):
     out = BI.monitor_bias(readings(spark, sf))
     return out.select("dimension", day("read_at").alias("read_at"), "ratio", "previous",
                       "first_reading", F.coalesce("alert", F.lit("")).alias("alert"))
+
+
+_HEAVY = ", ".join(f"{w}::DOUBLE" for w in _SCENARIO_SQL["location_heavy"])
+_HEAVY_RATIOS = _observed_sql(False, "s_{0}").replace(
+    "FROM criteria", "FROM (SELECT * FROM criteria CROSS JOIN (VALUES ("
+    + _HEAVY + f")) t({', '.join(f's_{n}' for n in V.CRITERIA)}))")
+
+
+@query("bias_monitoring_of_audits", f"""
+    WITH first_run AS (SELECT * FROM (WITH {_observed_sql(False)} SELECT dimension, {r('impact_ratio')} AS ratio FROM ratios)),
+    second_run AS (SELECT * FROM (WITH {_HEAVY_RATIOS} SELECT dimension, {r('impact_ratio')} AS ratio FROM ratios)),
+    runs AS (SELECT dimension, '2002-01-01' AS read_at, ratio, NULL::DOUBLE AS previous FROM first_run
+             UNION ALL SELECT dimension, '2002-02-01', s.ratio, f.ratio
+             FROM second_run s JOIN first_run f USING (dimension))
+    SELECT dimension, read_at, ratio, coalesce(previous, -1)::DOUBLE AS previous, previous IS NULL AS first_reading,
+           CASE WHEN ratio < 0.80 THEN 'legal_gap'
+                WHEN previous IS NOT NULL AND previous - ratio >= 0.05 THEN 'drift' ELSE '' END AS alert,
+           min(ratio) OVER (PARTITION BY read_at) AS worst_ratio FROM runs""", "criteria")
+def _(spark, sf):
+    """Two audit runs, the second after the weights were changed; it meets the first as recorded."""
+    path, found = work_path(spark, "bias-readings"), _rescored(spark, sf)
+    own = BI.dimension_report(BI.observe(found, GRID))
+    heavy = BI.dimension_report(BI.observe(found, GRID, {"location_heavy": SCENARIOS["location_heavy"]}))
+    runs = [BI.monitor_run(rep.select("dimension", rounded(F.col("impact_ratio")).alias("ratio")), path, date)
+            for rep, date in ((own, "2002-01-01"), (heavy, "2002-02-01"))]
+    return runs[0].unionByName(runs[1]).select(
+        "dimension", day("read_at").alias("read_at"), "ratio", F.coalesce("previous", F.lit(-1.0)).alias("previous"),
+        "first_reading", F.coalesce("alert", F.lit("")).alias("alert"), "worst_ratio")

@@ -385,7 +385,7 @@ def _(spark, sf):
         F.col("ts").cast("timestamp").alias("arrived_at"),
         F.sha2(F.concat_ws("/", F.get_json_object("props", "$.k"), "event_type"), 256)
         .alias("content_hash"))
-    rows = ST.drain(docs, "contents", ST.first_contents, new_by=["content_hash"])
+    rows = ST.first_contents(ST.drain(ST.first_contents(docs), "contents", mode="update"))
     return rows.select("content_hash", F.date_format("arrived_at", "yyyy-MM-dd HH:mm:ss").alias("arrived_at"))
 
 
@@ -416,7 +416,7 @@ def _(spark, sf):
     folder = work_path(spark, "readings")
     readings(spark, sf).write.parquet(folder)
     stream = spark.readStream.schema("dimension string, read_at date, ratio double").parquet(folder)
-    return ST.drift_alerts(ST.drain(stream, "alerts")).select("dimension", day("read_at").alias("read_at"), "ratio", "alert")
+    return ST.merged_readings(ST.drain(ST.watched_readings(stream), "alerts", mode="update")).select("dimension", day("read_at").alias("read_at"), "ratio", "alert")
 
 
 @query("stream_scored_applications", f"""
@@ -426,13 +426,7 @@ def _(spark, sf):
     folder = work_path(spark, "arrivals")
     B.staged(spark, sf, B.applications).write.parquet(folder)
     schema = spark.read.parquet(folder).schema
-    static = B.tables(spark, sf)
-    profiles = cut_lineage(SC.candidate_profiles(static, B.REF_YEAR))
-
-    def score(batch):
-        rows = SC.finish(SC.criteria(
-            static.with_applications(batch), ref_year=B.REF_YEAR, profiles=profiles))
-        return rows.select("application_id", rounded(F.col("overall"), 4).alias("overall"))
-
-    rows = ST.drain(spark.readStream.schema(schema).parquet(folder), "scored", score)
+    score = ST.scored_arrivals(lambda: B.tables(spark, sf), B.REF_YEAR)
+    rows = ST.drain(spark.readStream.schema(schema).parquet(folder), "scored", lambda batch: score(batch).select(
+        "application_id", rounded(F.col("overall"), 4).alias("overall")))
     return rows.select("application_id", "overall")

@@ -328,9 +328,8 @@ def test_streams_equal_batch_for_many_files_in_any_order(spark, tmp_path):
         return frame.select(F.col("ts").cast("timestamp").alias("arrived_at"),
                             F.concat_ws("/", "user_id", "event_type").alias("content_hash"))
 
-    kept = jobs.drain(contents(stream), "contents", jobs.first_contents, new_by=["content_hash"])
-    assert sorted(r.content_hash for r in kept.collect()) == sorted(
-        r.content_hash for r in contents(events).select("content_hash").distinct().collect())
+    kept = jobs.first_contents(jobs.drain(jobs.first_contents(contents(stream)), "contents", mode="update"))
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, jobs.first_contents(contents(events)).collect()))
 
     def decisions(frame):
         return frame.select(F.col("user_id").alias("actor"), (F.col("event_id") % 3).alias("object_id"),
@@ -341,6 +340,78 @@ def test_streams_equal_batch_for_many_files_in_any_order(spark, tmp_path):
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, jobs.last_decisions(decisions(events)).collect()))
 
 
+def _file(spark, folder, rows, schema, age):
+    """One more file, `age` seconds old, in a streamed folder."""
+    import os
+    import shutil
+    import time
+    import uuid
+
+    part = f"{folder}-{uuid.uuid4().hex}"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(part)
+    (name,) = [f for f in os.listdir(part) if f.endswith(".parquet")]
+    os.makedirs(folder, exist_ok=True)
+    shutil.copy(f"{part}/{name}", f"{folder}/{name}")
+    os.utime(f"{folder}/{name}", (time.time() - age,) * 2)
+
+
+def test_a_restart_keeps_the_earliest_arrival(spark, tmp_path):
+    import datetime as dt
+
+    from rolewise.streaming import jobs
+
+    schema = "content_hash string, arrived_at timestamp"
+    folder, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    at = lambda d: dt.datetime(2024, 1, d)
+    parts = [[("a", at(5)), ("b", at(2))], [("a", at(1)), ("c", at(9))], [("a", at(3)), ("b", at(2)), ("d", at(4))]]
+    for k, rows in enumerate(parts):
+        _file(spark, folder, rows, schema, 1000 - k)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        rows = jobs.drain(jobs.first_contents(stream), "contents", mode="update", out=out)
+    got = {r.content_hash: r.arrived_at for r in jobs.first_contents(rows).collect()}
+    assert got == {"a": at(1), "b": at(2), "c": at(9), "d": at(4)}
+    # A batch reads and writes its own keys, whatever came before.
+    sizes = {r.batch_id: r["count"] for r in rows.groupBy("batch_id").count().collect()}
+    assert sizes == {0: 2, 1: 2, 2: 3}
+
+
+def test_readings_may_come_late_and_over_restarts(spark, tmp_path):
+    import datetime as dt
+
+    from rolewise.streaming import jobs
+
+    rng = random.Random(5)
+    schema = "dimension string, read_at date, ratio double"
+    rows = [(rng.choice("xyz"), dt.date(2024, 1, 1) + dt.timedelta(rng.randint(0, 25)), rng.choice([0.95, 0.93, 0.85, 0.82, 0.7]))
+            for _ in range(60)]
+    folder, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    for k in range(0, 60, 15):
+        _file(spark, folder, rows[k:k + 15], schema, 1000 - k)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        found = jobs.drain(jobs.watched_readings(stream), "alerts", mode="update", out=out)
+    whole = jobs.drift_alerts(spark.createDataFrame(rows, schema))
+    assert sorted(map(str, jobs.merged_readings(found).collect())) == sorted(map(str, whole.collect()))
+    assert {r.alert for r in whole.collect()} == {"", "drift", "legal_gap"}
+
+
+def test_arrivals_meet_the_profiles_of_their_time(spark, tmp_path):
+    from rolewise.operators import scoring as SC
+    from rolewise.streaming import jobs
+    from tests import hiring as H
+
+    data = H.rows()
+    score = jobs.scored_arrivals(lambda: H.tables(spark, data), H.REF_YEAR)
+    batch = lambda *ids: spark.createDataFrame(
+        [r for r in H.ROWS["applications"] if r[0] in ids], H.SCHEMAS["applications"])
+    before = {r.application_id: r.overall for r in score(batch("a1", "a2")).collect()}
+    data["candidate_skills"].append((1, "postgresql", 5.0, 2024))
+    after = {r.application_id: r.overall for r in score(batch("a1")).collect()}
+    full = {r.application_id: r.overall for r in SC.score_applications(
+        H.tables(spark, data), ref_year=H.REF_YEAR).collect()}
+    assert after["a1"] == pytest.approx(full["a1"]) and after["a1"] > before["a1"]
+    assert before["a2"] == pytest.approx(full["a2"])
+
+
 def test_evaluation_set_of_another_kind_fails_without_reading_kind(spark, tmp_path):
     import json
 
