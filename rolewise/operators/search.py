@@ -88,10 +88,18 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int,
     left = dealt(held, "doc_id", "v", wide, "q", deep)
     right = dealt(asked, "query_id", "q", deep, "v", wide)
 
+    types = [f.schema[c].dataType.simpleString() for f, c in ((asked, "query_id"), (held, "doc_id"))]
+    pairs = left.groupBy("v", "q").cogroup(right.groupBy("v", "q")).applyInPandas(
+        best_of_block(k), f"query_id {types[0]}, doc_id {types[1]}, score double")
+    return top_k(pairs, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+
+
+def best_of_block(k: int):
+    """The k best vectors of each query within a pair of blocks: one matrix product."""
     def best(docs: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         if docs.empty or asks.empty:
             return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
-        similar = np.floor(_unit(docs["embedding"]) @ _unit(asks["asked"]).T * SCORE_GRID + 0.5) / SCORE_GRID
+        similar = np.floor(unit(docs["embedding"]) @ unit(asks["asked"]).T * SCORE_GRID + 0.5) / SCORE_GRID
         doc, ids = docs["doc_id"].to_numpy(), asks["query_id"].to_numpy()
         order = np.lexsort((np.broadcast_to(doc[:, None], similar.shape), -similar), axis=0)
         keep = order[: min(k, len(doc))]
@@ -101,13 +109,10 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int,
             "score": similar[keep.ravel(), column.ravel()],
         })
 
-    types = [f.schema[c].dataType.simpleString() for f, c in ((asked, "query_id"), (held, "doc_id"))]
-    pairs = left.groupBy("v", "q").cogroup(right.groupBy("v", "q")).applyInPandas(
-        best, f"query_id {types[0]}, doc_id {types[1]}, score double")
-    return top_k(pairs, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+    return best
 
 
-def _unit(rows: pd.Series) -> np.ndarray:
+def unit(rows: pd.Series) -> np.ndarray:
     matrix = np.stack(rows.to_numpy()).astype("float64")
     norm = np.linalg.norm(matrix, axis=1)
     return matrix / np.where(norm == 0, 1.0, norm)[:, None]

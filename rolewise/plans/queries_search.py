@@ -12,6 +12,7 @@ from rolewise.operators import linkage as LK
 from rolewise.operators import metrics as M
 from rolewise.operators import redirect as RD
 from rolewise.operators import search as SE
+from rolewise.operators import vector_index as VI
 from rolewise.plans import bindings as B
 from rolewise.plans.queries_scoring import graded
 from rolewise.plans.registry import query, rounded, sql_rounded as r
@@ -108,6 +109,19 @@ def _(spark, sf):
                        rounded(F.col("score") + 1, 5).alias("score_plus_one"))
 
 
+def hundredths(spark, sf):
+    """The vectors whose id is divisible by 100, as queries."""
+    return vecs(spark, sf).where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "embedding")
+
+
+@query("vector_index_search")
+def _(spark, sf):
+    """Ten neighbours of every hundredth vector through the index."""
+    index, asked = VI.build(vecs(spark, sf)), hundredths(spark, sf)
+    hits = VI.search(index, asked, 10, VI.probes_for(index, asked, 10, 0.95))
+    return hits.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), rounded(F.col("score"), 5).alias("score"))
+
+
 @query("hybrid_search", f"""
     WITH {_BM25}, {_VEC}, {_RRF}
     SELECT query_id, doc_id, rank, method, {r('score')} AS score FROM hyb""")
