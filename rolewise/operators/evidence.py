@@ -5,13 +5,17 @@ quotes, so its text is folded, read and sent once per array and not per quote.
 The exact tiers are column expressions. A long quote that they leave open can
 only match in part if one of its blocks stands on the page: a common substring of
 `least` characters holds a whole block of ceil(least / 2) characters of the quote
-cut into such blocks. Only pages that hold one go on to the suffix automaton.
+cut into such blocks. Only pages that hold one go on, and of them only the parts
+around such blocks go through the suffix automaton of the quotes left open.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,8 +70,9 @@ def page_matches(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     A match has `at`, the place of a quote that stands there as asked, else 0.
     `quotes` has (quote_id, document_id, quote), `pages` (document_id, page, text).
     """
-    rows = needles(quotes).join(pages.select("document_id", "page", "text"), "document_id").withColumn(
-        "haystack", normalised(F.col("text")))
+    # Exploding an array of one keeps the optimizer from repeating what is in it for every use.
+    rows = needles(quotes).join(pages.select("document_id", "page", "text"), "document_id").select(
+        "document_id", "page", "text", "quotes", F.explode(F.array(normalised(F.col("text")))).alias("haystack"))
     hay = F.col("haystack")
 
     def match(q: Column) -> Column:
@@ -78,7 +83,8 @@ def page_matches(quotes: DataFrame, pages: DataFrame) -> DataFrame:
             F.exists(F.coalesce(q["blocks"], F.array().cast("array<string>")), lambda b: F.contains(hay, b)).alias("open"))
 
     found = F.filter(F.transform("quotes", match), lambda m: (m["at"] > 0) | m["open"])
-    return rows.select("document_id", "page", "text", "haystack", found.alias("matches")).where(F.size("matches") > 0)
+    return rows.select(
+        "document_id", "page", "text", "haystack", F.explode(F.array(found)).alias("matches")).where(F.size("matches") > 0)
 
 
 def exact_tiers(quotes: DataFrame, pages: DataFrame) -> DataFrame:
@@ -131,26 +137,27 @@ class Automaton:
             self.link[made] = self._parted(at, char, self.edges[at][char])
         return made
 
-    def reached(self, page: str) -> tuple[list[int], list[int]]:
-        """Per state the longest of its strings that stands on the page, and its first end.
+    def reached(self, page: str, regions: list[tuple[int, int]] | None = None) -> tuple[list[int], list[int]]:
+        """Per state the longest of its strings that stands in the regions of the page, and its first end.
 
         One step per character; then states hand what ended in them to the
         states of their suffixes, which stand there in full.
         """
         size, end = [0] * len(self.link), [0] * len(self.link)
         first = [len(page) + 1] * len(self.link)
-        at = length = 0
-        for place, char in enumerate(page, 1):
-            while at and char not in self.edges[at]:
-                at = self.link[at]
-                length = self.length[at]
-            if char not in self.edges[at]:
-                continue
-            at, length = self.edges[at][char], length + 1
-            if length > size[at]:
-                size[at], end[at] = length, place
-            if place < first[at]:
-                first[at] = place
+        for start, stop in regions if regions is not None else [(0, len(page))]:
+            at = length = 0
+            for place, char in enumerate(page[start:stop], start + 1):
+                while at and char not in self.edges[at]:
+                    at = self.link[at]
+                    length = self.length[at]
+                if char not in self.edges[at]:
+                    continue
+                at, length = self.edges[at][char], length + 1
+                if length > size[at]:
+                    size[at], end[at] = length, place
+                if place < first[at]:
+                    first[at] = place
         for state in self.falling:
             up = self.link[state]
             if up > 0 and first[state] <= len(page):
@@ -174,27 +181,48 @@ class Automaton:
         return (-best[1] - best[0], best[0]) if best[0] else (-1, 0)
 
 
-def longest_common(page: str, strings: list[str]) -> list[tuple[int, int]]:
+def longest_common(page: str, strings: list[str], regions: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
     """(start on the page, size) for each string, in time linear in page and strings."""
     automaton = Automaton(strings)
-    reached = automaton.reached(page)
+    reached = automaton.reached(page, regions)
     return [automaton.longest(s, reached) for s in strings]
 
 
-def _origins(text: str) -> list[int]:
-    """Place in the text of each normalised character."""
-    import unicodedata
+def least_size(needle: str) -> int:
+    """Characters of the quote that must stand together on the page."""
+    return math.ceil(V.EVIDENCE_MIN_RATIO * len(needle))
+
+
+def regions(page: str, strings: list[str]) -> list[tuple[int, int]]:
+    """The parts of the page around blocks of the quotes; all that is long enough lies in one."""
+    found = []
+    for string in strings:
+        width = -(-least_size(string) // 2)
+        for cut in range(0, len(string) - width + 1, width):
+            block = string[cut:cut + width]
+            at = page.find(block)
+            while at >= 0:
+                found.append((max(0, at - len(string)), at + width + len(string)))
+                at = page.find(block, at + 1)
+    merged: list[tuple[int, int]] = []
+    for start, stop in sorted(found):
+        if merged and start <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(stop, merged[-1][1]))
+        else:
+            merged.append((start, stop))
+    return merged
+
+
+_BLANKS = np.array([ord(c) for c in map(chr, range(0x3001)) if re.match(r"\s|\x85", c)], dtype=np.uint32)
+
 
-    origin, spaced = [], True
-    for index, char in enumerate(text):
-        if char.isspace():
-            if not spaced:
-                origin.append(index)
-            spaced = True
-        elif not unicodedata.combining(char):
-            origin.append(index)
-            spaced = False
-    return origin
+def _origins(text: str) -> np.ndarray:
+    """Place in the text of each normalised character: accents left out, white space once."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    places = np.flatnonzero((codes < 0x300) | (codes > 0x36F))
+    blank = np.isin(codes[places], _BLANKS)
+    after = np.concatenate([[True], blank[:-1]])[:len(blank)]
+    return places[~(blank & after)]
 
 
 def _spans(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -203,16 +231,16 @@ def _spans(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterato
         out = []
         for text, haystack, listed in zip(texts, haystacks, matches):
             open_ = [m["needle"] for m in listed if not m["at"]]
-            partial = iter(longest_common(haystack, open_) if open_ else ())
+            partial = iter(longest_common(haystack, open_, regions(haystack, open_)) if open_ else ())
             origin, spans = _origins(text), []
             for m in listed:
-                least = V.EVIDENCE_MIN_RATIO * len(m["needle"])
+                least = least_size(m["needle"])
                 start, size = (m["at"] - 1, len(m["needle"])) if m["at"] else next(partial)
                 if size < least or size == 0:
                     spans.append({"size": 0, "char_start": 0, "char_end": 0})
                     continue
                 end = min(start + size, len(origin))
-                spans.append({"size": size, "char_start": origin[start], "char_end": origin[end - 1] + 1})
+                spans.append({"size": size, "char_start": int(origin[start]), "char_end": int(origin[end - 1]) + 1})
             out.append(spans)
         yield pd.Series(out)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from rolewise import fixed_values as V
 from rolewise.functions.text import canonical_form
 from rolewise.session import cut_lineage
 
+#: Skills of a block whose vectors are compared with those of another.
+SKILL_BLOCK = 2048
+
 
 def canonical(name: Column, aliases: Mapping[str, str] | None = None) -> Column:
     """Canonical skill name. The alias list is configuration, hence a literal map."""
@@ -77,6 +82,41 @@ def build_relatedness(implies: DataFrame, related: DataFrame) -> DataFrame:
     )
 
 
+def similar_skills(vectors: DataFrame, floor: float = V.SEMANTIC_FLOOR, block: int = SKILL_BLOCK) -> DataFrame:
+    """(required, held, cosine) of all pairs of skills with a cosine above `floor`, both ways.
+
+    `vectors` has (skill, embedding), one row a skill. Skills are dealt into blocks;
+    a pair of blocks meets once, as one matrix product. Skills without a vector
+    are similar to none.
+    """
+    from rolewise.operators.search import SCORE_GRID, unit
+
+    held = vectors.where("size(embedding) > 0").select("skill", "embedding")
+    blocks = max(1, -(-held.count() // block))
+    placed = held.withColumn("own", F.pmod(F.xxhash64("skill"), F.lit(blocks)))
+    left = placed.select("skill", "embedding", F.col("own").alias("a"), F.explode(
+        F.sequence(F.col("own"), F.lit(blocks - 1).cast("long"))).alias("b"))
+    right = placed.select("skill", "embedding", F.col("own").alias("b"), F.explode(
+        F.sequence(F.lit(0).cast("long"), F.col("own"))).alias("a"))
+
+    def near(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"required": [], "held": [], "cosine": []})
+        if one.empty or other.empty:
+            return empty
+        cosine = np.floor(unit(one["embedding"]) @ unit(other["embedding"]).T * SCORE_GRID + 0.5) / SCORE_GRID
+        i, j = np.nonzero(cosine > floor)
+        pairs = pd.DataFrame({"required": one["skill"].to_numpy()[i], "held": other["skill"].to_numpy()[j],
+                              "cosine": np.minimum(cosine[i, j], 1.0)})
+        if one["a"].iloc[0] != one["b"].iloc[0]:
+            pairs = pd.concat([pairs, pairs.rename(columns={"required": "held", "held": "required"})])
+        pairs = pairs[pairs["required"] != pairs["held"]]
+        return pairs if len(pairs) else empty
+
+    right = right.toDF(*right.columns)
+    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(
+        near, "required string, held string, cosine double")
+
+
 def with_semantic(relatedness: DataFrame, similarities: DataFrame) -> DataFrame:
     """Add (required, held, cosine) pairs: the capped cosine wins where larger."""
     from rolewise.functions.scores import semantic_degree

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from rolewise import fixed_values as V
 from rolewise.functions import scores as S
+from rolewise.operators import ontology as O
 from rolewise.operators import ranking as R
 from rolewise.operators import scoring as SC
 from rolewise.plans import bindings as B
 from rolewise.plans.registry import query, rounded, sql_rounded as r
+from rolewise.plans.sql_views import with_changed_view
 from rolewise.session import cut_lineage
 
 NUMBERS = (*V.CRITERIA, "required_score", "preferred_score", "weighted_score", "admissibility",
@@ -85,6 +89,56 @@ def _(spark, sf):
     )
 
 
+#: A skill's vector: its own supplied one, and twice one that every fifth skill shares.
+SHARED, KINDS_OF_SKILL = 100, 5
+
+
+def skill_vectors(spark, sf):
+    held = B.read(spark, sf, "embeddings").select("vec_id", "embedding")
+    brands = B.brand_ontology(spark, sf)[0].select("skill").union(
+        B.staged(spark, sf, B.job_skills).select("name")).distinct().withColumn(
+        "n", F.regexp_extract("skill", r"(\d+)", 1).cast("long"))
+    own = held.withColumnRenamed("embedding", "own")
+    kin = held.select((F.col("vec_id") - SHARED).alias("kin"), F.col("embedding").alias("shared"))
+    rows = brands.join(own, F.col("n") == F.col("vec_id")).join(kin, F.col("n") % KINDS_OF_SKILL == F.col("kin"))
+    mixed = F.zip_with("own", "shared", lambda a, b: a.cast("double") + 2 * b.cast("double"))
+    return rows.select("skill", mixed.alias("embedding"))
+
+
+_SEMANTIC = f"""
+    SELECT required, held, max(degree) AS degree FROM (
+      SELECT required, held, degree FROM relatedness
+      UNION ALL
+      SELECT required, held, least(0.80::DOUBLE, 0.80::DOUBLE * (c - 0.70::DOUBLE) / (1 - 0.70::DOUBLE)) FROM (
+        SELECT a.skill AS required, b.skill AS held, least(1.0::DOUBLE, floor(list_inner_product(a.v, b.v)
+                 / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v)))
+                 * 1e9::DOUBLE + 0.5::DOUBLE) / 1e9::DOUBLE) AS c
+        FROM skill_vectors a JOIN skill_vectors b ON a.skill <> b.skill) WHERE c > 0.70)
+    GROUP BY 1, 2"""
+_SKILL_VECTORS = f"""skill_vectors AS MATERIALIZED (
+      SELECT skill, list_transform(list_zip(o.embedding, k.embedding), lambda z: z[1]::DOUBLE + 2 * z[2]::DOUBLE) AS v
+      FROM (SELECT skill FROM brands WHERE n > 0 AND n % 2 = 0 UNION SELECT name FROM job_skills) s
+      JOIN embeddings o ON o.vec_id = regexp_extract(skill, '(\\d+)', 1)::BIGINT
+      JOIN embeddings k ON k.vec_id = {SHARED} + regexp_extract(skill, '(\\d+)', 1)::BIGINT % {KINDS_OF_SKILL})"""
+
+
+@query("score_with_semantic_skills", with_changed_view("relatedness", _SEMANTIC, "scores", "sem_").replace(
+    "sem_relatedness AS", f"{_SKILL_VECTORS}, sem_relatedness AS", 1) + f"""
+    SELECT s.application_id, {r('s.skills')} AS skills, {r('s.overall')} AS overall,
+           {r('s.overall - o.overall + 1')} AS gain_plus_one
+    FROM sem_scores s JOIN scores o USING (application_id)""")
+def _(spark, sf):
+    """Scores with the semantic layer: similar skills count by their degree."""
+    tables = B.tables(spark, sf)
+    pairs = O.similar_skills(skill_vectors(spark, sf))
+    wider = replace(tables, relatedness=cut_lineage(O.with_semantic(tables.relatedness, pairs)))
+    with_layer = SC.score_applications(wider, ref_year=B.REF_YEAR).select("application_id", "skills", "overall")
+    without = scores(spark, sf).select("application_id", F.col("overall").alias("own"))
+    return with_layer.join(without, "application_id").select(
+        "application_id", rounded(F.col("skills")).alias("skills"), rounded(F.col("overall")).alias("overall"),
+        rounded(F.col("overall") - F.col("own") + 1).alias("gain_plus_one"))
+
+
 @query("rank_all_applications", f"""
     SELECT application_id, overall,
            row_number() OVER (PARTITION BY offer_id ORDER BY overall DESC, candidate_id) AS rank

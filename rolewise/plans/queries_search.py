@@ -12,12 +12,13 @@ from rolewise.operators import linkage as LK
 from rolewise.operators import metrics as M
 from rolewise.operators import redirect as RD
 from rolewise.operators import search as SE
+from rolewise.operators import text_index as TI
 from rolewise.operators import vector_index as VI
 from rolewise.plans import bindings as B
 from rolewise.plans.queries_scoring import graded
 from rolewise.plans.registry import query, rounded, sql_rounded as r
 from rolewise.plans.sql_views import sql_fold
-from rolewise.session import cut_lineage
+from rolewise.session import cut_lineage, work_path
 
 _STOP = ", ".join(f"'{w}'" for w in V.STOP_WORDS)
 
@@ -100,6 +101,18 @@ def _(spark, sf):
                        rounded(F.col("score"), 5).alias("score"))
 
 
+@query("bm25_index_search", f"""
+    WITH {_BM25} SELECT query_id, doc_id, rank, {r('score', 5)} AS score FROM lex WHERE rank <= 10""")
+def _(spark, sf):
+    """The same lists from a stored index, filled by two batches."""
+    path = work_path(spark, "text-index")
+    for batch in (0, 1):
+        TI.append(docs(spark, sf).where(F.pmod("doc_id", F.lit(2)) == batch), path, batch)
+    hits = TI.search(spark, path, asks(spark, sf), 10)
+    return hits.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"),
+                       rounded(F.col("score"), 5).alias("score"))
+
+
 @query("vector_top_k", f"""
     WITH {_VEC} SELECT query_id, doc_id, rank, {r('score + 1', 5)} AS score_plus_one
     FROM near WHERE rank <= 10""")

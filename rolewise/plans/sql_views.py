@@ -347,3 +347,29 @@ def with_views(names: list[str], body: str) -> str:
     if body.upper().startswith("WITH "):
         return f"WITH {ctes}, {body[len('WITH '):]}"
     return f"WITH {ctes} {body}"
+
+
+def with_changed_view(name: str, text: str, root: str, prefix: str) -> str:
+    """WITH list of `root` and all it reads, and once more, prefixed, on a changed view `name`.
+
+    `text` may read the view by its own name.
+    """
+    import re
+
+    names, stack = set(), [root]
+    while stack:
+        n = stack.pop()
+        if n not in names:
+            names.add(n)
+            stack.extend(_needs(n))
+    order, changed, extra = [n for n in _ORDER if n in names], {name}, []
+    for n in order:
+        body = text if n == name else VIEWS[n]
+        if n != name and not _needs(n) & changed:
+            continue
+        if n != name:
+            for c in changed:
+                body = re.sub(rf"(FROM|JOIN) {c}\b", rf"\1 {prefix}{c}", body)
+        changed.add(n)
+        extra.append(f"{prefix}{n} AS MATERIALIZED ({body})")
+    return "WITH " + ", ".join([f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in order] + extra)

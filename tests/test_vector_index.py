@@ -54,3 +54,34 @@ def test_small_tables(spark):
         asked = spark.createDataFrame([(9, [0.0, 1.0])], "query_id long, embedding array<float>")
         got = VI.search(index, asked, 3, VI.probes_for(index, asked, 3)).collect() if index.centroids.shape[1] == 2 else []
         assert len(got) == sum(bool(v) for _, v in rows)
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_similar_skills_equal_all_pairs(spark, block):
+    from rolewise.operators import ontology as O
+
+    pick = np.random.default_rng(8)
+    centres = pick.normal(size=(6, 12))
+    vectors = {f"s{i}": (centres[i % 6] + 0.35 * pick.normal(size=12)).tolist() for i in range(40)}
+    frame = spark.createDataFrame([*vectors.items(), ("none", None), ("empty", [])], "skill string, embedding array<double>")
+    got = {(r.required, r.held): r.cosine for r in O.similar_skills(frame, block=block).collect()}
+    cosine = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    want = {(a, b): cosine(vectors[a], vectors[b]) for a in vectors for b in vectors if a != b}
+    assert got == pytest.approx({k: c for k, c in want.items() if c > 0.7}, abs=1e-8) and len(got) > 50
+
+
+def test_semantic_degree_counts_where_it_is_larger(spark):
+    from dataclasses import replace
+
+    from rolewise.operators import ontology as O
+    from rolewise.operators import scoring as SC
+    from tests import hiring as H
+
+    tables = H.tables(spark)
+    similar = spark.createDataFrame([("fastapi", "python", 0.95), ("docker", "kubernetes", 0.71)],
+                                    "required string, held string, cosine double")
+    wider = replace(tables, relatedness=O.with_semantic(tables.relatedness, similar))
+    rows = {(r.application_id, r.required): r for r in SC.match_skills(wider, H.REF_YEAR).collect()}
+    before = {(r.application_id, r.required): r for r in SC.match_skills(tables, H.REF_YEAR).collect()}
+    assert rows["a4", "fastapi"].method == "semantic" and rows["a4", "fastapi"].degree == pytest.approx(0.8 * 0.25 / 0.3)
+    assert rows["a2", "docker"].degree == max(before["a2", "docker"].degree, 0.8 * 0.01 / 0.3)
