@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from rolewise import fixed_values as V
 from rolewise.functions import arabic as AR
 from rolewise.functions import scores as S
+from rolewise.functions import text as T
 from rolewise.functions import weights as WT
 from rolewise.operators import counterfactual as CF
 from rolewise.operators import extraction as EX
@@ -187,6 +190,48 @@ def _(spark, sf):
         F.array_join(F.transform("skills", lambda s: s["name"]), ",").alias("skills"))
 
 
+#: Latin letters of every third document become Arabic ones, four of them in a form that is unified.
+_LATIN, _ARABIC = "abcdefghijklmnopqrstuvwxyz0123456789", "أبتثإجحةىدذرزسشصضطظعغفقكلم٠١٢٣٤٥٦٧٨٩"
+_UNIFIED = "ابتثاجحهيدذرزسشصضطظعغفقكلم0123456789"
+_IS_ARABIC = "doc_id % 3 = 0"
+_RE2_BLOCKS = re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", AR.BLOCKS)
+
+
+@query("arabic_texts", f"""
+    WITH t AS (SELECT doc_id, CASE WHEN {_IS_ARABIC} THEN translate(lower(text), '{_LATIN}', '{_ARABIC}')
+                 ELSE text END AS text,
+                 CASE WHEN {_IS_ARABIC} THEN translate(lower(text), '{_LATIN}', '{_UNIFIED}') ELSE text END AS unified
+               FROM documents WHERE text IS NOT NULL),
+    s AS (SELECT *, regexp_split_to_array(text, '\\r?\\n') AS lines,
+                 length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS letters,
+                 length(regexp_replace(regexp_replace(text, '[^\\p{{L}}]', '', 'g'), '[^{_RE2_BLOCKS}]', '', 'g')) AS ours FROM t)
+    SELECT doc_id, {r("CASE WHEN letters = 0 THEN 0 ELSE ours / letters::DOUBLE END")} AS share,
+           sha256(CASE WHEN regexp_matches(text, '[{_RE2_BLOCKS}]') THEN unified ELSE text END) AS normal,
+           sha256(array_to_string(list_transform(lines, lambda l: CASE WHEN trim(l) <> ''
+             AND length(regexp_replace(regexp_replace(l, '[^\\p{{L}}]', '', 'g'), '[^{_RE2_BLOCKS}]', '', 'g'))
+                 / nullif(length(regexp_replace(l, '[^\\p{{L}}]', '', 'g')), 0)::DOUBLE >= 0.999
+             THEN reverse(l) ELSE l END), chr(10))) AS logical FROM s""")
+def _(spark, sf):
+    """Share of Arabic letters, comparable form and logical order of whole texts."""
+    arabic = F.translate(F.lower("text"), _LATIN, _ARABIC)
+    rows = B.read(spark, sf, "documents").where("text IS NOT NULL").select(
+        "doc_id", F.when(F.expr(_IS_ARABIC), arabic).otherwise(F.col("text")).alias("text"))
+    text = F.col("text")
+    return rows.select("doc_id", rounded(AR.arabic_share(text)).alias("share"),
+                       F.sha2(AR.normalise(text), 256).alias("normal"), F.sha2(AR.logical_order(text), 256).alias("logical"))
+
+
+@query("ligature_expansion", """
+    SELECT doc_id, sha256(text) AS plain FROM documents WHERE text IS NOT NULL""")
+def _(spark, sf):
+    """Texts set with ligatures come back as they were written."""
+    set_ = F.col("text")
+    for plain, ligature in (("ffi", "ﬃ"), ("ffl", "ﬄ"), ("ff", "ﬀ"), ("fi", "ﬁ"), ("fl", "ﬂ")):
+        set_ = F.replace(set_, F.lit(plain), F.lit(ligature))
+    return B.read(spark, sf, "documents").where("text IS NOT NULL").select(
+        "doc_id", F.sha2(T.expand_ligatures(set_), 256).alias("plain"))
+
+
 @query("document_quality", f"""
     SELECT page_id, char_count, {r('char_count::DOUBLE / page_count')} AS chars_per_page,
            char_count::DOUBLE / page_count < 180 AS looks_scanned, char_count > 0 AS verifiable,
@@ -220,8 +265,7 @@ def word_boxes(spark, sf):
         (x0 + F.least(F.length("word"), F.lit(9))).alias("x1"), F.lit(100.0).alias("width"))
 
 
-@query("column_gutters", """
-    WITH w0 AS (SELECT doc_id, unnest(regexp_split_to_array(trim(text), '\\s+')) AS word,
+_GUTTERS = """WITH w0 AS (SELECT doc_id, unnest(regexp_split_to_array(trim(text), '\\s+')) AS word,
                   generate_subscripts(regexp_split_to_array(trim(text), '\\s+'), 1) - 1 AS pos FROM documents),
     w AS (SELECT doc_id, x0, x0 + least(length(word), 9) AS x1 FROM (
             SELECT *, (pos % 8) * 12 + CASE WHEN doc_id % 3 = 0 AND pos % 8 >= 4 THEN 4 ELSE 0 END AS x0
@@ -235,11 +279,35 @@ def word_boxes(spark, sf):
               sum(n) OVER (PARTITION BY doc_id ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rt
             FROM occ WINDOW o AS (PARTITION BY doc_id ORDER BY bin))
     SELECT DISTINCT doc_id FROM run JOIN tot USING (doc_id)
-    WHERE gap >= 3 AND l >= 0.15 * words AND rt >= 0.15 * words""")
+    WHERE gap >= 3 AND l >= 0.15 * words AND rt >= 0.15 * words"""
+
+
+@query("column_gutters", _GUTTERS)
 def _(spark, sf):
     return EX.column_gutters(word_boxes(spark, sf)).select(F.col("document_id").alias("doc_id"))
 
 
+@query("document_routes", f"""
+    WITH gut AS (SELECT DISTINCT doc_id FROM ({_GUTTERS})),
+    q AS (SELECT d.doc_id, coalesce(length(text), 0)::BIGINT AS char_count, d.doc_id % 2 = 0 AS pdf,
+                 (g.doc_id IS NOT NULL)::INT::BIGINT AS multi_column_pages
+          FROM documents d LEFT JOIN gut g ON g.doc_id = d.doc_id),
+    f AS (SELECT *, char_count < {V.SCANNED_BELOW_CHARS} OR multi_column_pages > 0 AS needs_vision FROM q)
+    SELECT doc_id, char_count, multi_column_pages, needs_vision,
+           CASE WHEN needs_vision AND pdf AND char_count > 0 THEN 'hybrid' WHEN needs_vision AND pdf THEN 'vision'
+                WHEN char_count > 0 THEN 'text' ELSE '' END AS route FROM f""")
+def _(spark, sf):
+    """The reading route of each document, with its pages' gutters."""
+    pages = B.read(spark, sf, "documents").select(
+        F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), "text",
+        F.when(F.col("doc_id") % 2 == 0, "pdf").otherwise("docx").alias("source"))
+    q = EX.document_quality(pages, EX.column_gutters(word_boxes(spark, sf)))
+    return q.select(
+        F.col("document_id").alias("doc_id"), F.coalesce("char_count", F.lit(0)).alias("char_count"),
+        "multi_column_pages", F.coalesce("needs_vision", F.lit(True)).alias("needs_vision"),
+        F.coalesce("route", F.lit("")).alias("route"))
+
+
 # --- Extraction metrics -----------------------------------------------------------------------
 _SETS = """found AS (SELECT DISTINCT candidate_id AS case_id, name FROM candidate_skills WHERE years >= 2),
     expected AS (SELECT DISTINCT candidate_id AS case_id, name FROM candidate_skills WHERE uses >= 3),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rolewise import fixed_values as V
+from rolewise.functions import scores as S
 from rolewise.functions import text as T
 from rolewise.functions import vectors as VX
 from rolewise.operators import evidence as EV
@@ -501,6 +502,21 @@ def _(spark, sf):
     return EV.evidence_counts(EV.anchor_quotes(quotes(spark, sf), quote_pages(spark, sf)))
 
 
+@query("quote_confidence", f"""
+    WITH RECURSIVE {_ANCHORED}
+    SELECT quote_id, CASE WHEN length(quote) < 3 THEN 0.4::DOUBLE WHEN NOT verified THEN 0.3::DOUBLE
+                          ELSE round_even(least(1.0::DOUBLE, ratio), 2) END AS confidence
+    FROM anchored JOIN asked USING (quote_id)""")
+def _(spark, sf):
+    """Confidence that a quote lends to what was read from it."""
+    asked = quotes(spark, sf)
+    usable = F.length(EV.stripped(F.col("quote"))) >= V.EVIDENCE_MIN_LENGTH
+    found = EV.anchor_quotes(asked, quote_pages(spark, sf)).join(
+        asked.select("quote_id", usable.alias("usable")), "quote_id")
+    return found.select("quote_id", S.evidence_confidence(
+        F.col("usable"), F.col("verified"), F.col("ratio")).alias("confidence"))
+
+
 # --- Redirection --------------------------------------------------------------------------------
 def _current(spark, sf):
     return cut_lineage(graded(spark, sf).select(
