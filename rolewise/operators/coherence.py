@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rolewise import fixed_values as V
@@ -104,6 +105,17 @@ def coherence(experiences: DataFrame, education: DataFrame, candidates: DataFram
     return reduce(DataFrame.unionByName, checks)
 
 
+def report_order(findings: DataFrame) -> DataFrame:
+    """The findings numbered within their candidate: points that need attention first.
+
+    Equal severities go by code, then by the periods concerned. A candidate has
+    few findings next to all candidates, so a candidate is one window.
+    """
+    order = [F.col("severity") != "attention", "code", "first_id", "second_id"]
+    place = F.row_number().over(W.partitionBy("candidate_id").orderBy(*order))
+    return findings.withColumn("position", place)
+
+
 def verifiability(experiences: DataFrame) -> DataFrame:
     """Dated share per candidate: no finding means little without dates."""
     dated, total = F.count("start_date"), F.count("*")

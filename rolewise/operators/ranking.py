@@ -1,10 +1,9 @@
 """Latest rows, ranks, cuts and top-k.
 
-A full ranking of one very large group must not pass through one sort. Scores
-are published on a 1e-4 grid, so a group has at most 10,001 distinct scores;
-ids are cut into ranges of fixed width. Row counts per (score, id range) are
-accumulated first, on at most that many cells, and only the rows of one cell
-are ever ordered together.
+A full ranking of one very large group must not pass through one sort. Rows are
+laid out in ranges of (group, score, id), so such a group fills several; a rank
+is the place within the range plus what earlier ranges of the group hold. Ranks
+that equal scores share come from row counts per score.
 """
 
 from __future__ import annotations

@@ -519,6 +519,20 @@ def _(spark, sf):
     return f.withColumn("amount", rounded(F.col("amount")))
 
 
+@query("coherence_report", f"""
+    WITH {_FINDINGS} SELECT candidate_id, code, severity, first_id, second_id,
+      row_number() OVER (PARTITION BY candidate_id ORDER BY severity <> 'attention', code, first_id, second_id) AS position
+    FROM findings""", "experiences education")
+def _(spark, sf):
+    """Findings in the order a reader gets them."""
+    declared = B.read(spark, sf, "customer").select(
+        F.col("c_custkey").alias("candidate_id"),
+        (F.col("c_custkey") % 9).cast("double").alias("declared_years"))
+    f = CO.coherence(B.staged(spark, sf, B.experiences), B.staged(spark, sf, B.education), declared, "2001-06-01")
+    return CO.report_order(f).select("candidate_id", "code", "severity", "first_id", "second_id",
+                                     F.col("position").cast("long").alias("position"))
+
+
 @query("overlapping_periods", f"""
     WITH {_FINDINGS} SELECT candidate_id, first_id, second_id, amount FROM findings
     WHERE code = 'overlap'""", "experiences education")

@@ -241,6 +241,14 @@ def test_overlap_and_break_findings(spark):
     assert CO.overlaps(apart, "2026-07-30").count() == 0
 
 
+def test_attention_comes_first(spark):
+    rows = [(1, "break", "information", 1, 2), (1, "overlap", "attention", 1, 3), (1, "absent", "attention", 4, -1),
+            (2, "break", "information", 1, 2)]
+    findings = spark.createDataFrame(rows, "candidate_id long, code string, severity string, first_id long, second_id long")
+    got = {(r.candidate_id, r.position): r.code for r in CO.report_order(findings).collect()}
+    assert got == {(1, 1): "absent", (1, 2): "overlap", (1, 3): "break", (2, 1): "break"}
+
+
 def test_overlaps_equal_all_pairs(spark):
     import datetime as dt
 
