@@ -395,6 +395,11 @@ def _last_words(text, n):
 
 
 def quotes(spark, sf):
+    """The quotes as a stored table, as a deployment has them."""
+    return cut_lineage(made_quotes(spark, sf), "quotes")
+
+
+def made_quotes(spark, sf):
     """Four quotes per document: exact, broken, one word, and a foreign passage."""
     passages = B.read(spark, sf, "benchmark").select(
         F.col("item_id").alias("pick"), F.col("text").alias("foreign"))
