@@ -205,7 +205,8 @@ def repeated_runs(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
         F.col("doc_id").isNull() | (F.col("doc_id") > F.col("origin")))
     gone = rows.where("again").select("doc_id", "sig", "run").unionByName(
         later.select("doc_id", "sig", "run"))
-    return gone.groupBy("doc_id", "sig").agg(F.collect_list("run").alias("runs"))
+    # A set: copies of a row have the same runs, and each copy gets them all.
+    return gone.groupBy("doc_id", "sig").agg(F.collect_set("run").alias("runs"))
 
 
 def without(data: bytes, runs: np.ndarray) -> tuple[bytes, int, int]:

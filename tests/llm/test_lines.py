@@ -73,6 +73,16 @@ def test_passage_inside_other_text(spark):
     assert all(got[k].n_deleted_words >= 35 and "mayor" not in got[k].text for k in range(1, 50))
 
 
+def test_copies_of_a_row_add_no_runs(spark):
+    passage = " ".join(f"Line {k} of a passage is here." for k in range(12))
+    rows = [(1, passage)] + [(2, f"Before it. {passage}")] * 60
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    (few,) = lines.repeated_runs(docs.distinct()).collect()
+    (many,) = lines.repeated_runs(docs).collect()
+    assert sorted(few.runs) == sorted(many.runs)
+    check(docs, lines.MIN_WORDS)
+
+
 def test_windows_cover_every_run():
     rng = np.random.default_rng(0)
     for _ in range(300):
