@@ -18,8 +18,9 @@ the whole item is verified exactly around it. Before the walk, windows are left
 that cannot be near any piece: with at most d edits all but 3d of the piece's word
 pairs must stand in the window.
 
-The benchmark is the query set. It reaches the tasks in blocks of bounded size,
-one pass over the documents for each; what is found needs no shuffle.
+The benchmark is the query set. Its distinct texts reach the tasks in blocks of bounded
+size, one pass over the documents for each; what is found, not the documents, is joined
+with the items.
 
 Cases: a null or empty text has no match, nor has an item without a word; a null
 doc_id or item_id is carried; rows that occur twice are reported twice; items of
@@ -37,9 +38,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from rolewise.llm.common import documents, slices, small_batches, word_lists
+from rolewise.session import cut_lineage
 
 #: An item of N words may be changed by N // TOLERANCE edits.
 TOLERANCE = 5
@@ -271,24 +272,28 @@ class Items:
 
 
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Items]:
-    """The benchmark in blocks of about `block_bytes` of text."""
-    rows = benchmark.select("item_id", "text").where("text IS NOT NULL")
+    """The distinct texts of the benchmark in blocks of about `block_bytes`.
+
+    A text is named by its hash, so copies of an item add nothing to a block.
+    """
+    rows = benchmark.where("text IS NOT NULL").select("text").distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes)
+    rows = rows.withColumn("item", F.xxhash64("text"))
     for k in range(blocks):
-        mine = rows.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
-        part = sorted(mine.collect(), key=lambda r: (r.text, str(r.item_id)))
-        yield Items([r.item_id for r in part], [r.text for r in part])
+        part = sorted(rows.where(F.pmod("item", F.lit(blocks)) == k).collect(), key=lambda r: r.text)
+        yield Items([r.item for r in part], [r.text for r in part])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, distance, item_words, end_word) for every near document and item."""
-    doc_kind = docs.schema["doc_id"].dataType.simpleString()
-    item_kind = benchmark.schema["item_id"].dataType.simpleString()
-    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
-    schema = f"doc_id {doc_kind}, item_id {item_kind}, distance int, item_words int, end_word int"
-    parts = []
-    for block in item_blocks(benchmark):
+    """(doc_id, item_id, distance, item_words, end_word) for every near document and item.
+
+    A task holds one block. Texts are searched once; items of equal text share what is found.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, item bigint, distance int, item_words int, end_word int"
+    found = docs.sparkSession.createDataFrame([], schema)
+    for k, block in enumerate(item_blocks(benchmark)):
         shipped = docs.sparkSession.sparkContext.broadcast((block.ids, block.texts))
 
         def batches(source: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
@@ -298,25 +303,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 picked = batch.select(["doc_id"]).take(pa.array([f[0] for f in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays([
                     picked.column("doc_id"),
-                    pa.array([items.ids[f[1]] for f in found], item_type),
+                    pa.array([items.ids[f[1]] for f in found], pa.int64()),
                     pa.array([f[2] for f in found], pa.int32()),
                     pa.array([len(items.words[f[1]]) for f in found], pa.int32()),
                     pa.array([f[3] for f in found], pa.int32()),
-                ], names=["doc_id", "item_id", "distance", "item_words", "end_word"])
+                ], names=["doc_id", "item", "distance", "item_words", "end_word"])
 
-        parts.append(small_batches(docs.select("doc_id", "text")).mapInArrow(batches, schema))
-    if not parts:
-        return docs.sparkSession.createDataFrame([], schema)
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    return merged
+        part = small_batches(docs.select("doc_id", "text")).mapInArrow(batches, schema)
+        found = found.unionByName(part) if k else part
+    named = benchmark.where("text IS NOT NULL").select(F.xxhash64("text").alias("item"), "item_id")
+    return found.join(named, "item").select("doc_id", "item_id", "distance", "item_words", "end_word")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are near no item, with all their columns."""
-    for block in item_blocks(benchmark):
+    """The documents that are near no item, with all their columns.
+
+    What one block leaves is written before the next, so a task holds one block.
+    """
+    for k, block in enumerate(item_blocks(benchmark)):
         shipped = docs.sparkSession.sparkContext.broadcast((block.ids, block.texts))
+        docs = cut_lineage(docs, "clean") if k else docs
 
         def batches(source: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             items = Items(*shipped.value).prepare()

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rolewise.llm import decontamination as D
 from tests.llm.helpers import MIDDLE, empty, odd, small
@@ -94,3 +95,17 @@ def test_blocks_of_the_benchmark(spark, size, monkeypatch):
     got = sorted(map(tuple, D.contaminated(small(spark, MIDDLE), bench).collect()))
     monkeypatch.setattr(D.item_blocks, "__defaults__", (1 << 22,))
     assert got == sorted(map(tuple, D.contaminated(small(spark, MIDDLE), bench).collect()))
+
+
+def test_copies_of_an_item_share_a_block(spark, monkeypatch):
+    bench = spark.read.parquet(f"{MIDDLE}/benchmark.parquet").select("item_id", "text")
+    hot = bench.orderBy("item_id").limit(1).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(500))))
+    copied = bench.unionByName(hot.select((F.col("item_id") + 10**6 + F.col("k")).alias("item_id"), "text"))
+    monkeypatch.setattr(D.item_blocks, "__defaults__", (4_000,))
+    blocks = list(D.item_blocks(copied))
+    distinct = bench.where("text IS NOT NULL").select("text").distinct().count()
+    assert len(blocks) > 1 and sum(len(b.texts) for b in blocks) == distinct
+    docs = small(spark, MIDDLE).limit(150)
+    left = {r.doc_id for r in D.decontaminated(docs, copied).collect()}
+    hit = {r.doc_id for r in D.contaminated(docs, bench).select("doc_id").distinct().collect()}
+    assert left == {r.doc_id for r in docs.collect()} - hit
