@@ -161,3 +161,20 @@ def test_rater_blocks_change_nothing(spark):
     whole = sorted(map(str, AG.rater_pairs(last).collect()))
     assert len(whole) == 30 * 29 // 2
     assert sorted(map(str, AG.rater_pairs(last, block=4).collect())) == whole
+
+
+def test_rater_pairs_shuffle_no_pairs_and_leave_strangers_apart(spark, monkeypatch):
+    """Copies of raters on dossiers of their own meet within the copy only; sums over keys agree."""
+    rows = [(f"r{c}-{k:02d}", 1000 * c + d, (k + d) % 3 > 0)
+            for c in range(3) for k in range(8) for d in range(70) if (k * 7 + d) % 4]
+    last = spark.createDataFrame(rows, "actor string, object_id long, retained boolean")
+    got = sorted(map(str, AG.rater_pairs(last, block=3).collect()))
+    assert got == sorted(map(str, AG.rater_pairs(last, block=3, held=5).collect()))
+    assert len(got) == 3 * 28
+    seen = {(a, d): k for a, d, k in rows}
+    for r in AG.rater_pairs(last, block=3).collect():
+        both = [d for a, d in seen if a == r.a and (r.b, d) in seen]
+        assert r.a < r.b and r.common == len(both)
+        assert r.agreed == sum(seen[r.a, d] == seen[r.b, d] for d in both)
+    plan = AG.rater_pairs(last)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [a#" not in plan
