@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolewise.llm import decontamination, language, lines, mixing, near
+from rolewise.llm import decontamination, language, lines, mixing, near, simhash
 from rolewise.session import cut_lineage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -23,8 +23,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, Jaccard 0.8."""
-    return near.representatives(docs)
+    """One document of each group stays that SimHash (op10) and Jaccard links together make.
+
+    Fingerprints within two bits link, as in op10; five-word shingles of a Jaccard
+    similarity of 0.8 link too, most of which lie further apart than that.
+    """
+    return simhash.representatives(docs, near.joined(simhash.near_duplicates(docs), near.near_duplicates(docs)))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -215,3 +215,19 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
 def representatives(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group, the one with the smallest doc_id, with all columns."""
     return simhash.representatives(docs, near_duplicates(docs, width, similarity))
+
+
+def joined(*found: DataFrame) -> DataFrame:
+    """(doc_id, sig, component_id): the groups that the links of several methods make together.
+
+    Each of `found` has (doc_id, sig, component_id), the smallest doc_id of a group naming it.
+    """
+    found = tuple(cut_lineage(f.select("doc_id", "sig", "component_id"), "found") for f in found)
+    ends = found[0].limit(0)
+    for f in found:
+        ends = ends.unionByName(f)
+    pairs = ends.where("doc_id <> component_id").select(
+        F.col("doc_id").alias("u"), F.col("component_id").alias("v")).distinct()
+    members = connected_components(pairs)
+    return found[0].select("doc_id", "sig").join(members.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "doc_id", "sig", F.coalesce("component", "doc_id").alias("component_id"))

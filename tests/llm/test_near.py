@@ -127,3 +127,23 @@ def test_empty(spark):
     assert near.near_duplicates(empty(spark)).collect() == []
     docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, "a b")], "doc_id bigint, text string")
     assert near.representatives(docs).count() == 3
+
+
+def test_pipeline_links_by_simhash_and_by_jaccard(spark):
+    """Links of both methods join groups; op10 links are among them."""
+    import corpus_pipeline
+    from rolewise.llm import simhash
+
+    words = [f"w{k}" for k in range(400)]
+    first = " ".join(words)
+    base = simhash.fingerprint(first)
+    other = next(t for k in range(400) for j in range(50) for t in [
+        " ".join([*words[:k], f"x{j}", *words[k + 1:]])] if (simhash.fingerprint(t) ^ base).bit_count() <= 2)
+    rows = [(1, first), (2, other), (3, "entirely of its own " * 9), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = spark.createDataFrame([(1, 1, 1), (2, 2, 2), (3, 3, 2), (4, 4, 4)], "doc_id long, sig long, component_id long")
+    more = spark.createDataFrame([(1, 1, 1), (2, 2, 1), (3, 3, 3), (4, 4, 4)], "doc_id long, sig long, component_id long")
+    joined = {r.doc_id: r.component_id for r in near.joined(found, more).collect()}
+    assert joined == {1: 1, 2: 1, 3: 1, 4: 4}
+    stays = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert stays == {1, 3, 4}
