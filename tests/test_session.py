@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from rolewise.operators import scenarios as SN
 from rolewise.operators import scoring as SC
 from rolewise.session import CLEANUP_KEY, cut_lineage
 from tests import hiring as H
@@ -40,3 +41,13 @@ def test_scores_shuffle_no_rows_of_skills(spark):
     columns = node.left().output()
     names = {columns.apply(k).name() for k in range(columns.size())}
     assert "job_names" in names and "job_skills" not in names
+
+
+def test_ranks_under_scenarios_are_settled_before_they_are_joined(spark):
+    rows = SC.criteria(H.tables(spark), ref_year=H.REF_YEAR)
+    rescored = cut_lineage(SN.rescore(rows, {"x": {"skills": 1.0}, "y": {"location": 1.0}}, lambda c: c))
+    found = SN.rerank_scenarios(rescored, "x")
+    plan = found.select("application_id", "scenario", "rank_after")._jdf.queryExecution().optimizedPlan().toString()
+    assert "scenario" in plan and not any("scenario" in line for line in plan.split("\n") if "Window [" in line)
+    assert sorted((r["scenario"], r["offer_id"], r["rank_after"]) for r in found.collect()) == [
+        (s, o, k) for s in ("x", "y") for o, n in ((10, 3), (20, 2)) for k in range(1, n + 1)]
